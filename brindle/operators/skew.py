@@ -15,15 +15,16 @@ SHARE = 1000
 LEAST_ROWS = 20_000
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", share: int = SHARE, least: int = LEAST_ROWS) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, n: str = "n", share: int = SHARE, least: int = LEAST_ROWS, total: int | None = None) -> DataFrame:
     """Of per-key row counts, the hot keys with the number of salts each gets: at most `share` rows.
 
-    Null keys are never hot. An empty input gives an empty table.
+    Null keys are never hot. An empty input gives an empty table. `total`, the sum of the counts, saves
+    a job where it is known.
     """
     spark = counts.sparkSession
-    total = counts.agg(F.sum(n)).first()[0] or 0
+    total = (counts.agg(F.sum(n)).first()[0] or 0) if total is None else total
     limit = max(total / share, least)
-    rows = counts.filter((F.col(n) > limit) & F.col(key).isNotNull()).select(key, F.ceil(F.col(n) / limit).cast("int").alias("salts")).collect()
+    rows = [] if total <= limit else counts.filter((F.col(n) > limit) & F.col(key).isNotNull()).select(key, F.ceil(F.col(n) / limit).cast("int").alias("salts")).collect()
     schema = f"`{key}` {dict(counts.dtypes)[key]}, salts int"
     return spark.createDataFrame([(r[0], r[1]) for r in rows], schema)
 
