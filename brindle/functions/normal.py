@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _RUNS = re.compile(r"[a-z0-9]+")
@@ -29,12 +30,12 @@ def normal_form_py(s: str | None) -> str | None:
     return " ".join(_RUNS.findall(_CAMEL.sub(" ", strip_accents_py(s)).lower()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normal_udf(s: pd.Series) -> pd.Series:
     return s.map(normal_form_py, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _strip_udf(s: pd.Series) -> pd.Series:
     return s.map(strip_accents_py, na_action="ignore")
 
