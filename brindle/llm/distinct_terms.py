@@ -10,11 +10,11 @@ back, and no test is ever ranked by itself.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.skew import hot_keys, salted_join
@@ -93,19 +93,19 @@ def term_scores(records: DataFrame, record: str, terms: str) -> DataFrame:
     return joined.select(F.col("r").alias(record), F.col("t").alias("term"), "k", "n", "df", "total", "ln_p", (-F.col("ln_p")).alias("score"), "q")
 
 
-def telling_pairs(scores: DataFrame, record: str, max_df: int, is_left, pairs: DataFrame, left: str, right: str, left_words, right_words) -> DataFrame:
+def telling_pairs(scores: DataFrame, record: str, max_df: int, pairs: DataFrame, left: str, right: str, left_text: Column, right_text: Column, words: Callable[[Column], Column]) -> DataFrame:
     """(left, right, term, score_left, score_right, df): pairs of records that share a term of at most `max_df` records.
 
-    Pairs come from the term's own short record list (at most max_df^2 / 4 a term), never from a term
-    that many records have; they must then occur in a row of `pairs` in which both word arrays hold the
-    term. `is_left` tells from a record whether it is one of the left side.
+    Pairs come from the term's own short record list (at most max_df^2 a term), never from a term that
+    many records have; they must then occur in a row of `pairs` in which both texts hold the term among
+    their `words`. Rows with a null in either text or identifier give no pair.
     """
-    rare = scores.filter(F.col("df") <= max_df).select(F.col(record).alias("r"), "term", "score", "df")
-    a = rare.filter(is_left(F.col("r"))).select(F.col("r").alias("a"), "term", F.col("score").alias("score_left"), "df")
-    b = rare.filter(~is_left(F.col("r"))).select(F.col("r").alias("b"), "term", F.col("score").alias("score_right"))
-    both = a.join(b, "term")
-    given = pairs.select(F.col(left).alias("a"), F.col(right).alias("b"), left_words.alias("wa"), right_words.alias("wb"))
+    rare = scores.filter(F.col("df") <= max_df)
+    a = rare.select(F.col(record).alias("a"), "term", F.col("score").alias("score_left"), "df")
+    b = rare.select(F.col(record).alias("b"), "term", F.col("score").alias("score_right"))
+    both = a.join(b, "term").filter("a <> b")
+    given = pairs.select(F.col(left).alias("a"), F.col(right).alias("b"), left_text.alias("ta"), right_text.alias("tb"))
     hit = both.join(given, ["a", "b"])
-    hit = hit.filter(F.array_contains("wa", F.col("term")) & F.array_contains("wb", F.col("term")))
+    hit = hit.filter(F.array_contains(words(F.col("ta")), F.col("term")) & F.array_contains(words(F.col("tb")), F.col("term")))
     out = hit.groupBy("a", "b", "term").agg(*[F.max(c).alias(c) for c in ("score_left", "score_right", "df")])
     return out.withColumnsRenamed({"a": left, "b": right})
