@@ -83,6 +83,19 @@ def plan(records: DataFrame, source: str, size: str, targets: DataFrame, target_
     return out.withColumn("rate", F.when(F.col("size") > 0, F.greatest(rate, F.lit(0.0))).otherwise(F.lit(0.0)))
 
 
+def _flier(seed: int, level: int, last: bool):
+    """Flight of one block of a source, with landing on the last level."""
+
+    def fly(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "id"], kind="stable").reset_index(drop=True)
+        rng = np.random.default_rng([seed, level, int(key[1]), len(pdf), sum(str(key[0]).encode())])
+        pdf = pdf.iloc[rng.permutation(len(pdf))].reset_index(drop=True)
+        p = flight(pdf["p"].tolist(), pdf["size"].astype(float).tolist(), rng)
+        return pdf[["source", "id", "size", "base", "p"]].assign(p=land(p, rng) if last else p)
+
+    return fly
+
+
 def mix(records: DataFrame, ident: str, source: str, size: str, targets: DataFrame, target_source: str = "source", share: str = "target_share", repeats: str = "max_repeats", block: int = BLOCK, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(drawn, report). drawn: (ident, source, size, copies), the records taken at least once; report: one
     row per target source with what it should give and what it gives.
@@ -102,21 +115,13 @@ def mix(records: DataFrame, ident: str, source: str, size: str, targets: DataFra
     counts = {r["source"]: r["n_records"] for r in wanted.filter(F.col("rate") > F.floor("rate")).select("source", "n_records").collect()}
     level, parts = 0, [decided]
     schema = "source string, id {}, size bigint, base int, p double".format(dict(rows.dtypes)["id"])
-    cols = ["source", "id", "size", "base", "p"]
     while counts:
         blocks = {s: max(1, -(-n // block)) for s, n in counts.items()}
         last = all(b == 1 for b in blocks.values())
         table = todo.sparkSession.createDataFrame(list(blocks.items()), "source string, blocks int")
 
-        def fly(key, pdf: pd.DataFrame, last=last, level=level) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "id"], kind="stable").reset_index(drop=True)
-            rng = np.random.default_rng([seed, level, int(key[1]), len(pdf), sum(str(key[0]).encode())])
-            pdf = pdf.iloc[rng.permutation(len(pdf))].reset_index(drop=True)
-            p = flight(pdf["p"].tolist(), pdf["size"].astype(float).tolist(), rng)
-            return pdf[cols].assign(p=land(p, rng) if last else p)
-
         placed = todo.join(F.broadcast(table), "source").withColumn("_b", F.pmod(F.xxhash64("id", "size", F.lit(level)), F.col("blocks")))
-        flown = write_table(placed.groupBy("source", "_b").applyInPandas(fly, schema), "mix-flight").df
+        flown = write_table(placed.groupBy("source", "_b").applyInPandas(_flier(seed, level, last), schema), "mix-flight").df
         parts.append(flown.filter("p IN (0, 1)").select("source", "id", "size", (F.col("base") + F.col("p")).cast("int").alias("copies")))
         todo = flown.filter("p > 0 AND p < 1")
         counts = {} if last else {r[0]: r[1] for r in todo.groupBy("source").count().collect()}

@@ -13,7 +13,7 @@ def _canon(col: str) -> str:
 
 
 def _words(col: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower(regexp_replace(strip_accents(nfc_normalize({col})), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), w -> w <> '')"
+    return f"list_filter(regexp_split_to_array(lower(regexp_replace(strip_accents(nfc_normalize({col})), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"
 
 
 _TOKENS = r"""CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+')) END"""
@@ -62,7 +62,7 @@ ORACLE = {
  m AS (SELECT *, list_sort([rank_sapbert_cosine, rank_graph06_score, rank_model_score])[2] AS median_rank, round((rank_sapbert_cosine + rank_graph06_score + rank_model_score) / 3.0, 6) AS mean_rank FROM r)
  SELECT *, row_number() OVER (PARTITION BY src_iri ORDER BY median_rank, mean_rank, tgt_iri) AS place FROM m""",
     "p6_found": f"SELECT src_iri, tgt_iri FROM ({_top(5)})",
-    "p6_ranks": f"""SELECT t.src_iri, t.tgt_iri, t.rank, round(t.s, 6) AS sapbert_cosine, r.recorded_rank FROM ({_top(10)}) t LEFT JOIN (SELECT src_iri, tgt_iri, min(rank_src_tgt) FILTER (abs(rank_src_tgt) < 1e300) AS recorded_rank FROM candidates GROUP BY ALL) r USING (src_iri, tgt_iri)""",
+    "p6_ranks": f"""SELECT t.src_iri, t.tgt_iri, t.rank, t.s AS sapbert_cosine, r.recorded_rank FROM ({_top(10)}) t LEFT JOIN (SELECT src_iri, tgt_iri, min(rank_src_tgt) FILTER (abs(rank_src_tgt) < 1e300) AS recorded_rank FROM candidates GROUP BY ALL) r USING (src_iri, tgt_iri)""",
     "p7_found": f"""WITH RECURSIVE l AS ({_LINKS}), e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), r AS (SELECT x AS n, x AS g FROM e UNION SELECT e.y, r.g FROM r JOIN e ON e.x = r.n WHERE r.g < e.y)
  SELECT n AS entity_iri, min(g) AS group_iri FROM r GROUP BY n""",
     "p8_found": f"SELECT doc_id FROM documents WHERE {_TOKENS} > 1024",

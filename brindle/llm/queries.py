@@ -178,7 +178,7 @@ def p6_ranks(spark: SparkSession, d: str) -> DataFrame:
     best = top_n.top_n(table(spark, d, "candidates"), "src_iri", "tgt_iri", "sapbert_cosine", 10)
     recorded = table(spark, d, "candidates").filter(F.col("src_iri").isNotNull() & F.col("tgt_iri").isNotNull())
     recorded = recorded.groupBy("src_iri", "tgt_iri").agg(F.min(F.when(F.abs("rank_src_tgt") < 1e300, F.col("rank_src_tgt"))).alias("recorded_rank"))
-    return best.join(recorded, ["src_iri", "tgt_iri"], "left").select("src_iri", "tgt_iri", "rank", F.round("sapbert_cosine", 6).alias("sapbert_cosine"), "recorded_rank")
+    return best.join(recorded, ["src_iri", "tgt_iri"], "left").select("src_iri", "tgt_iri", "rank", "sapbert_cosine", "recorded_rank")
 
 
 # 7: components
