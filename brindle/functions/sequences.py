@@ -10,7 +10,6 @@ from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,53 +18,49 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from brindle.functions.normal import strip_accents_py
 
 
-def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
+def _positions(a) -> dict:
+    """Of each element, the bits of the places it has in a."""
+    out: dict = {}
+    for i, x in enumerate(a):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def _edits(a: str, b: str, swaps: bool) -> int:
+    """Edit distance by bit-parallel columns: one bit per character of a tells whether the cell below is one more or one less."""
+    if not a or not b:
+        return len(a) + len(b)
+    at, full, high, n = _positions(a), (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    more, less, diagonal, last = full, 0, full, 0
+    for ch in b:
+        eq = at.get(ch, 0)
+        swap = ((~diagonal & eq) << 1) & last if swaps else 0
+        diagonal = (((eq & more) + more) ^ more | eq | less | swap) & full
+        up, down = less | ~(diagonal | more) & full, more & diagonal
+        n += bool(up & high) - bool(down & high)
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        more, less, last = down | ~(diagonal | up) & full, up & diagonal, eq
+    return n
 
 
 def levenshtein(a: str, b: str) -> int:
-    """Edit distance, one numpy pass per character of the shorter text."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return len(b)
-    cb = _codes(b)
-    steps = np.arange(len(b) + 1)
-    row = steps.copy()
-    for i, ch in enumerate(_codes(a), 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (cb != ch))
-        new = np.concatenate(([i], best))
-        row = np.minimum.accumulate(new - steps) + steps  # insertions run along the row
-    return int(row[-1])
+    """Edit distance."""
+    return _edits(a, b, False)
 
 
 def osa(a: str, b: str) -> int:
     """Edit distance with swaps of neighbours, no part edited twice."""
-    if not a or not b:
-        return len(a) + len(b)
-    ca, cb = _codes(a), _codes(b)
-    steps = np.arange(len(b) + 1)
-    before, row = None, steps.copy()
-    for i in range(1, len(a) + 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (cb != ca[i - 1]))
-        if before is not None and len(b) > 1:
-            swap = (cb[1:] == ca[i - 2]) & (cb[:-1] == ca[i - 1])
-            best[1:] = np.minimum(best[1:], np.where(swap, before[:-2] + 1, best[1:]))
-        new = np.concatenate(([i], best))
-        before, row = row, np.minimum.accumulate(new - steps) + steps
-    return int(row[-1])
+    return _edits(a, b, True)
 
 
 def lcs(a, b) -> int:
     """Length of the longest common subsequence of two sequences."""
-    if not a or not b:
-        return 0
-    ids = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
-    cb = np.array([ids[x] for x in b])
-    row = np.zeros(len(b) + 1, dtype=np.int64)
-    for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(cb == ids[x], row[:-1] + 1, 0)))
-    return int(row[-1])
+    at, full = _positions(a), (1 << len(a)) - 1
+    free = full
+    for x in b:
+        hit = free & at.get(x, 0)
+        free = ((free + hit) | (free - hit)) & full
+    return len(a) - free.bit_count()
 
 
 def jaro(a: str, b: str) -> float:
@@ -170,6 +165,13 @@ def _struct(f: Callable, names: list[str]) -> Callable[[Column, Column], Column]
     return F.pandas_udf(batch, kind)
 
 
+
+def cosine_grams(n: int) -> Callable[[Column, Column], Column]:
+    """Cosine of the character n-gram counts of two normalized texts, blanks removed."""
+    grams = lambda s: [s[i : i + n] for i in range(len(s) - n + 1)]
+    return _column(lambda a, b: _count_cosine(grams(a.replace(" ", "")), grams(b.replace(" ", ""))), DoubleType())
+
+
 rouge_l_col = _struct(rouge_l, ["p", "r", "f"])
 
 # Names and order of the label similarity columns.

@@ -30,7 +30,7 @@ def mass_entropy(v: Column, n: Column) -> tuple[Column, Column, Column]:
     pos = F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))
     s = total(pos)
     p = F.transform(pos, lambda x: F.when(s > TINY, x / s).otherwise(1.0 / n))
-    h = -total(F.transform(p, lambda x: x * F.log(F.greatest(x, F.lit(TINY)))))
+    h = 0.0 - total(F.transform(p, lambda x: x * F.log(F.greatest(x, F.lit(TINY)))))
     return h, F.when(n > 1, h / F.log(n)).otherwise(F.lit(0.0)), total(F.transform(p, lambda x: x * x))
 
 
@@ -39,7 +39,7 @@ def soft_entropy(v: Column, top: Column, n: Column, t: float) -> Column:
     e = F.transform(v, lambda x: F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), (x - top) / t))))
     s = total(e)
     p = F.transform(e, lambda x: x / s)
-    return F.when(n > 1, -total(F.transform(p, lambda x: x * F.log(F.greatest(x, F.lit(TINY)))))).otherwise(F.lit(0.0))
+    return F.when(n > 1, 0.0 - total(F.transform(p, lambda x: x * F.log(F.greatest(x, F.lit(TINY)))))).otherwise(F.lit(0.0))
 
 
 def entity_statistics(scored: DataFrame, entity: str, score: str = "score", threshold: float = 0.5, label: str | None = None) -> DataFrame:
@@ -68,8 +68,8 @@ def entity_statistics(scored: DataFrame, entity: str, score: str = "score", thre
     }
     for t in TEMPERATURES:
         e = soft_entropy(v, top, n, t)
-        cols[f"soft_entropy_{t:.2f}"] = e
-        cols[f"soft_entropy_norm_{t:.2f}"] = F.when(n > 1, e / F.log(n)).otherwise(F.lit(0.0))
+        cols[f"soft_entropy_t{round(t * 100):03d}"] = e
+        cols[f"soft_entropy_norm_t{round(t * 100):03d}"] = F.when(n > 1, e / F.log(n)).otherwise(F.lit(0.0))
     cols["top_mass"] = F.when(mass > TINY, F.greatest(top, F.lit(0.0)) / mass).otherwise(1.0 / n)
     for f in FRACTIONS:
         cols[f"near_top_{round(f * 100)}"] = F.size(F.filter(v, _at_least(top * f))).cast("double")

@@ -2,10 +2,850 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.functions import clouds as C
+from brindle.functions import sequences as S
+from brindle.functions import text as T
+from brindle.functions import vector as V
+from brindle.functions.normal import normal_form, normalize_text
+from brindle.operators import dense, entity, evaluation, learn, matching, ontology, pairs, ranking, retrieval
+from brindle.plans import pipeline, views
+from brindle.plans.views import sql
+from brindle.sources import mappings
+from brindle.sources.materialize import materialize
+from brindle.sources.tables import table
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(statement: str | None = None):
+    """Register a query under its function's name, with its statement where SQL can give it."""
+
+    def add(f):
+        _Q[f.__name__] = f
+        if statement:
+            _SQL[f.__name__] = statement
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+# pair tables
+
+
+@query(sql("SELECT DISTINCT src_iri, tgt_iri FROM gold", "gold"))
+def gold_distinct(s, d):
+    return pairs.distinct_gold(views.gold(s, d))
+
+
+@query("SELECT src_iri, tgt_iri, max(CASE WHEN score IS NULL OR isnan(score) THEN 0 ELSE score END) AS score FROM predictions GROUP BY ALL")
+def scores_max(s, d):
+    return mappings.scores(table(s, d, "predictions").select("src_iri", "tgt_iri", "score"))
+
+
+@query("""SELECT src_iri, tgt_iri, score FROM (SELECT * FROM predictions QUALIFY row_number() OVER (PARTITION BY src_iri, tgt_iri ORDER BY strftime(loaded_at, '%Y%m%d%H%M%S%f') || coalesce(score::varchar, '')) = 1) WHERE score IS NOT NULL AND NOT isnan(score)""")
+def predictions_first(s, d):
+    p = table(s, d, "predictions").withColumn("o", F.concat(F.date_format("loaded_at", "yyyyMMddHHmmssSSSSSS"), F.coalesce(F.col("score").cast("string"), F.lit("")))).select("src_iri", "tgt_iri", "score", "o")
+    return mappings.predictions(p, "o")
+
+
+@query(sql("SELECT iri FROM (SELECT src_iri AS iri FROM cands UNION SELECT tgt_iri FROM cands UNION SELECT src_iri FROM gold UNION SELECT tgt_iri FROM gold)", "cands", "gold"))
+def needed_entities(s, d):
+    return pairs.needed_entities(views.cands(s, d), views.gold(s, d))
+
+
+@query(sql("SELECT c.src_iri, c.tgt_iri, (g.src_iri IS NOT NULL)::int AS label FROM (SELECT DISTINCT src_iri, tgt_iri FROM cands) c LEFT JOIN (SELECT DISTINCT src_iri, tgt_iri FROM gold) g USING (src_iri, tgt_iri)", "cands", "gold"))
+def label_join(s, d):
+    return pairs.label_pairs(views.cands(s, d).select("src_iri", "tgt_iri").distinct(), views.gold(s, d))
+
+
+_UNION = """u AS (SELECT coalesce(a.src_iri, b.src_iri) AS src_iri, coalesce(a.tgt_iri, b.tgt_iri) AS tgt_iri, (a.src_iri IS NOT NULL)::tinyint AS from_candidates, (b.src_iri IS NOT NULL)::tinyint AS from_graph06,
+ (a.src_iri IS NOT NULL AND b.src_iri IS NOT NULL)::tinyint AS from_both, coalesce(b.graph06_score, 0) AS graph06_score FROM (SELECT DISTINCT src_iri, tgt_iri FROM cands) a
+ FULL JOIN (SELECT src_iri, tgt_iri, max(graph06_score) AS graph06_score FROM union_scores WHERE from_graph06 = 1 AND graph06_score IS NOT NULL AND NOT isnan(graph06_score) GROUP BY ALL) b USING (src_iri, tgt_iri))"""
+
+
+def _union(s, d):
+    g = table(s, d, "union_scores").filter("from_graph06 = 1 AND graph06_score IS NOT NULL AND NOT isnan(graph06_score)")
+    return pairs.union_provenance(views.cands(s, d), g)
+
+
+@query(sql("SELECT * FROM u", "cands").replace(" SELECT * FROM u", f", {_UNION} SELECT * FROM u"))
+def union_provenance(s, d):
+    return _union(s, d)
+
+
+@query(sql("SELECT 1", "cands").replace(" SELECT 1", f", {_UNION} SELECT count(*) FILTER (from_candidates = 1 AND from_graph06 = 0) AS only_candidates, count(*) FILTER (from_candidates = 0) AS only_graph, count(*) FILTER (from_both = 1) AS both, count(*) AS total FROM u"))
+def union_counts(s, d):
+    return pairs.union_counts(_union(s, d))
+
+
+@query(sql("SELECT src_iri, tgt_iri, true AS retrieved FROM (SELECT DISTINCT src_iri, tgt_iri FROM cands) UNION ALL SELECT src_iri, tgt_iri, false FROM (SELECT src_iri, tgt_iri FROM gold EXCEPT SELECT src_iri, tgt_iri FROM cands)", "cands", "gold"))
+def inject_gold(s, d):
+    return pairs.inject_gold(views.cands(s, d), views.gold(s, d))
+
+
+@query(sql("SELECT src_iri, tgt_iri FROM gold INTERSECT SELECT src_iri, tgt_iri FROM cands", "cands", "gold"))
+def gold_covered(s, d):
+    return pairs.covered(views.cands(s, d), views.gold(s, d))
+
+
+@query(sql("SELECT src_iri, tgt_iri FROM gold EXCEPT SELECT src_iri, tgt_iri FROM cands", "cands", "gold"))
+def gold_missed(s, d):
+    return pairs.missed(views.cands(s, d), views.gold(s, d))
+
+
+def _train_valid(s, d):
+    g = views.gold(s, d)
+    return g.filter("fold < 4").select("src_iri", "tgt_iri"), g.filter("fold = 4").select("src_iri", "tgt_iri")
+
+
+@query(sql("SELECT src_iri, tgt_iri, CASE WHEN min(fold) < 4 THEN 'train' ELSE 'valid' END AS split FROM gold WHERE fold <= 4 GROUP BY ALL", "gold"))
+def public_view(s, d):
+    return pairs.public_view(*_train_valid(s, d))
+
+
+@query(sql("SELECT src_iri, tgt_iri, CASE WHEN src_iri IN (SELECT src_iri FROM gold WHERE fold = 4) THEN 'valid' ELSE 'train' END AS split FROM scored WHERE src_iri IN (SELECT src_iri FROM gold WHERE fold <= 4)", "gold", "scored"))
+def public_split(s, d):
+    t, v = _train_valid(s, d)
+    return pairs.public_split(views.scored(s, d).select("src_iri", "tgt_iri"), t, v)
+
+
+@query(sql("SELECT iri, label, iri IN (SELECT src_iri FROM gold) AS seen FROM src_ents", "gold", "src_ents"))
+def entity_split(s, d):
+    return pairs.entity_split(views.ents(s, d, "src"), views.gold(s, d).select(F.col("src_iri").alias("iri")))
+
+
+@query(sql("SELECT src_iri, tgt_iri, score FROM scored WHERE src_iri NOT IN (SELECT src_iri FROM gold) AND tgt_iri NOT IN (SELECT tgt_iri FROM gold)", "gold", "scored"))
+def hidden_pool(s, d):
+    return pairs.hidden_pool(views.scored(s, d), views.gold(s, d)).select("src_iri", "tgt_iri", "score")
+
+
+@query(sql("SELECT src_iri, tgt_iri, score FROM scored WHERE src_iri IN (SELECT src_iri FROM gold WHERE fold = 4) OR tgt_iri IN (SELECT tgt_iri FROM gold WHERE fold = 4)", "gold", "scored"))
+def valid_pool(s, d):
+    return pairs.valid_pool(views.scored(s, d), _train_valid(s, d)[1]).select("src_iri", "tgt_iri", "score")
+
+
+@query("SELECT src_iri, tgt_iri, CASE WHEN sapbert_cosine IS NULL OR isnan(sapbert_cosine) OR isinf(sapbert_cosine) THEN 0 ELSE sapbert_cosine END AS sapbert_cosine, CASE WHEN rank_src_tgt IS NULL OR isnan(rank_src_tgt) OR isinf(rank_src_tgt) THEN 0 ELSE rank_src_tgt END AS rank_src_tgt FROM candidates")
+def scrub_scores(s, d):
+    return pairs.scrub(table(s, d, "candidates").select("src_iri", "tgt_iri", "sapbert_cosine", "rank_src_tgt"), ["sapbert_cosine", "rank_src_tgt"])
+
+
+@query("SELECT src_iri, tgt_iri, CASE WHEN sapbert_cosine IS NULL OR isnan(sapbert_cosine) THEN (SELECT median(sapbert_cosine) FROM candidates WHERE sapbert_cosine IS NOT NULL AND NOT isnan(sapbert_cosine)) ELSE sapbert_cosine END AS sapbert_cosine FROM candidates")
+def impute_median(s, d):
+    c = table(s, d, "candidates").select("src_iri", "tgt_iri", "sapbert_cosine")
+    return pairs.impute_median(c, c, ["sapbert_cosine"])
+
+
+@query(sql("SELECT src_iri, tgt_iri, max(overlap_score) AS overlap_score, min(overlap_rank) AS overlap_rank, min(tfidf_rank) AS tfidf_rank, min(neigh_rank) AS neigh_rank FROM cands GROUP BY ALL", "cands"))
+def merge_shards(s, d):
+    return pairs.merge_shards(views.cands(s, d), ["overlap_score"], ["overlap_rank", "tfidf_rank", "neigh_rank"])
+
+
+@query(sql("SELECT src_iri, tgt_iri, max(label) AS label, string_agg(DISTINCT o, '+' ORDER BY o) AS origin FROM (SELECT src_iri, tgt_iri, label, 'cands' AS o FROM cands UNION ALL SELECT src_iri, tgt_iri, 1, 'gold' FROM gold) GROUP BY src_iri, tgt_iri", "cands", "gold"))
+def dedupe_origins(s, d):
+    rows = views.cands(s, d).select("src_iri", "tgt_iri", "label", F.lit("cands").alias("origin")).unionByName(views.gold(s, d).select("src_iri", "tgt_iri", F.lit(1).alias("label"), F.lit("gold").alias("origin")))
+    return pairs.dedupe_with_origins(rows)
+
+
+@query(sql("SELECT src_iri, tgt_iri, string_agg(o, '+' ORDER BY o) AS origin FROM (SELECT DISTINCT src_iri, tgt_iri, 'overlap' AS o FROM cands WHERE overlap_rank <= 5 UNION SELECT src_iri, tgt_iri, 'tfidf' FROM cands WHERE tfidf_rank <= 3) GROUP BY src_iri, tgt_iri", "cands"))
+def channel_union(s, d):
+    c = views.cands(s, d)
+    return retrieval.merge_channels({"overlap": c.filter("overlap_rank <= 5"), "tfidf": c.filter("tfidf_rank <= 3")})
+
+
+def _mutual(s, d):
+    return matching.select_matches(views.scored(s, d), 0.0, "mutual_best")
+
+
+_MUTUAL = """m AS (SELECT src_iri, tgt_iri, score FROM (SELECT *, row_number() OVER (PARTITION BY src_iri ORDER BY score DESC, tgt_iri) AS a, row_number() OVER (PARTITION BY tgt_iri ORDER BY score DESC, src_iri) AS b FROM scored) WHERE a = 1 AND b = 1 AND score >= 0)"""
+
+
+def _with(view: str, *views_: str) -> Callable[[str], str]:
+    return lambda body: sql("@", *views_).replace(" @", f", {view} {body}")
+
+
+@query(_with(_MUTUAL, "scored")("SELECT count(*) AS n, count(DISTINCT src_iri || ' ' || tgt_iri) AS n_pairs, count(DISTINCT src_iri) AS n_src, count(DISTINCT tgt_iri) AS n_tgt, 0::bigint AS n_bad_relation, count(*) = count(DISTINCT src_iri) AND count(*) = count(DISTINCT tgt_iri) AS one_to_one, count(*) = count(DISTINCT src_iri) AND count(*) = count(DISTINCT tgt_iri) AS valid FROM m"))
+def submission_check(s, d):
+    return pairs.validate_submission(pairs.submission(_mutual(s, d)))
+
+
+@query()
+def sample_fixed(s, d):
+    """The sampling operator: its limit is the feature."""
+    return pairs.sample_rows(views.scored(s, d), ["src_iri", "tgt_iri"], 500)
+
+
+# text
+
+
+@query(sql("SELECT a, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(a), '[a-z0-9]+'))), ' ') AS tokens, array_to_string(list_sort(list_distinct(regexp_extract_all(a, '[0-9]+'))), ' ') AS digits FROM (SELECT DISTINCT a FROM labels)", "labels"))
+def text_tokens(s, d):
+    a = views.label_strings(s, d).select("a").distinct()
+    return a.select("a", F.array_join(F.array_sort(T.ascii_tokens(F.col("a"))), " ").alias("tokens"), F.array_join(F.array_sort(T.digit_set(F.col("a"))), " ").alias("digits"))
+
+
+_NORM = "trim(regexp_replace(lower(strip_accents(nfc_normalize({}))), '[^0-9a-z]+', ' ', 'g'))"
+_CAMEL = "trim(regexp_replace(lower(regexp_replace(strip_accents(nfc_normalize({})), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^0-9a-z]+', ' ', 'g'))"
+
+
+@query(sql(f"SELECT DISTINCT a, {_NORM.format('a')} AS norm, {_CAMEL.format('a')} AS camel FROM labels", "labels"))
+def text_normal(s, d):
+    return views.label_strings(s, d).select("a").distinct().select("a", normalize_text(F.col("a")).alias("norm"), normal_form(F.col("a")).alias("camel"))
+
+
+def _norm_pairs(s, d):
+    return materialize(views.label_strings(s, d).select("a", "b", normalize_text(F.col("a")).alias("x"), normalize_text(F.col("b")).alias("y")), "norm")
+
+
+_NP = f"np AS (SELECT a, b, {_NORM.format('a')} AS x, {_NORM.format('b')} AS y FROM labels)"
+_np = _with(_NP, "labels")
+
+
+def _lw(c: str) -> str:
+    return f"list_filter(string_split({c}, ' '), lambda w: w <> '')"
+
+
+def _grams(c: str, n: int) -> str:
+    z = f"replace({c}, ' ', '')"
+    return f"CASE WHEN length({z}) < {n} THEN []::VARCHAR[] ELSE list_transform(range(1, length({z}) - {n - 2}), lambda i: substr({z}, i, {n})) END"
+
+
+def _jac(p: str, q: str, empty: float) -> str:
+    return f"CASE WHEN len(list_distinct({p})) + len(list_distinct({q})) = 0 THEN {empty} ELSE len(list_intersect({p}, {q}))::double / len(list_distinct(list_concat({p}, {q}))) END"
+
+
+@query(_np(f"""SELECT a, b, round({_jac(_lw('x'), _lw('y'), 1.0)}, 6) AS jaccard, round(CASE WHEN x = '' AND y = '' THEN 1.0 ELSE 2.0 * len(list_intersect({_lw('x')}, {_lw('y')})) / (len(list_distinct({_lw('x')})) + len(list_distinct({_lw('y')}))) END, 6) AS dice,
+ round(CASE WHEN x = '' OR y = '' THEN 0.0 ELSE len(list_intersect({_lw('x')}, {_lw('y')}))::double / least(len(list_distinct({_lw('x')})), len(list_distinct({_lw('y')}))) END, 6) AS overlap FROM np"""))
+def set_similarities(s, d):
+    x, y = T.words(F.col("x")), T.words(F.col("y"))
+    return _norm_pairs(s, d).select("a", "b", _r(T.jaccard(x, y, 1.0)).alias("jaccard"), _r(T.dice(x, y, 1.0)).alias("dice"), _r(T.overlap(x, y)).alias("overlap"))
+
+
+@query(_np(f"SELECT a, b, round({_jac(_grams('x', 2), _grams('y', 2), 1.0)}, 6) AS bigrams, round({_jac(_grams('x', 3), _grams('y', 3), 1.0)}, 6) AS trigrams FROM np"))
+def ngram_jaccard(s, d):
+    g = lambda n: _r(T.jaccard(T.char_ngrams(F.col("x"), n), T.char_ngrams(F.col("y"), n), 1.0))
+    return _norm_pairs(s, d).select("a", "b", g(2).alias("bigrams"), g(3).alias("trigrams"))
+
+
+def _cos(p: str, q: str) -> str:
+    n = lambda v: f"sqrt(list_sum(list_transform(list_distinct({v}), lambda g: power(len(list_filter({v}, lambda h: h = g)), 2))))"
+    return f"CASE WHEN len({p}) = 0 AND len({q}) = 0 THEN 1.0 WHEN len({p}) = 0 OR len({q}) = 0 THEN 0.0 ELSE coalesce(list_sum(list_transform(list_intersect({p}, {q}), lambda g: len(list_filter({p}, lambda h: h = g)) * len(list_filter({q}, lambda h: h = g)))), 0) / ({n(p)} * {n(q)}) END"
+
+
+@query(sql("@", "labels").replace(" @", f", {_NP}, g AS (SELECT a, b, {_grams('x', 2)} AS p, {_grams('y', 2)} AS q FROM np) SELECT a, b, round({_cos('p', 'q')}, 6) AS cosine FROM g"))
+def cosine_bigrams(s, d):
+    return _norm_pairs(s, d).select("a", "b", _r(S.cosine_grams(2)("x", "y")).alias("cosine"))
+
+
+@query(_np("SELECT a, b, levenshtein(x, y)::int AS distance, round(1 - levenshtein(x, y) / greatest(length(x), length(y), 1)::double, 6) AS similarity FROM np"))
+def levenshtein_labels(s, d):
+    n = F.levenshtein("x", "y")
+    return _norm_pairs(s, d).select("a", "b", n.alias("distance"), _r(1 - n / F.greatest(F.length("x"), F.length("y"), F.lit(1))).alias("similarity"))
+
+
+def _common(x: str, y: str) -> str:
+    return f"len(list_filter(range(1, least(length({x}), length({y})) + 1), lambda i: substr({x}, 1, i) = substr({y}, 1, i)))::int"
+
+
+@query(_np(f"SELECT a, b, {_common('x', 'y')} AS prefix, {_common('reverse(x)', 'reverse(y)')} AS suffix FROM np"))
+def common_ends(s, d):
+    return _norm_pairs(s, d).select("a", "b", T.common_prefix_len(F.col("x"), F.col("y")).alias("prefix"), T.common_suffix_len(F.col("x"), F.col("y")).alias("suffix"))
+
+
+@query(_np("""SELECT a, b, round(j, 6) AS jaro, round(j + least(4, p) * 0.1 * (1 - j), 6) AS jaro_winkler FROM (SELECT a, b, CASE WHEN x = '' AND y = '' THEN 1.0 ELSE jaro_similarity(x, y) END AS j, @P AS p FROM np)""".replace("@P", _common("x", "y"))))
+def jaro_labels(s, d):
+    return _norm_pairs(s, d).select("a", "b", _r(S.jaro_col("x", "y")).alias("jaro"), _r(S.jaro_winkler_col("x", "y")).alias("jaro_winkler"))
+
+
+@query()
+def syntax_bundle(s, d):
+    p = views.label_pairs(s, d).withColumn("x", S.syntax_col("src_label", "tgt_label"))
+    return p.select("src_iri", "tgt_iri", *[_r(F.col(f"x.{n}")).alias(n) for n in S.SYNTAX])
+
+
+@query()
+def nlp_bundle(s, d):
+    p = views.label_strings(s, d).withColumn("x", S.nlp_col("a", "b"))
+    return p.select("a", "b", *[_r(F.col(f"x.{n}")).alias(n) for n in S.NLP])
+
+
+@query()
+def edit_distances(s, d):
+    """Swaps, subsequences and matching blocks; held against plain versions in the tests."""
+    return _norm_pairs(s, d).select("a", "b", S.osa_col("x", "y").alias("osa"), S.lcs_col("x", "y").alias("lcs"), _r(S.gestalt_col("x", "y")).alias("gestalt"))
+
+
+def _white(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: w <> '')"
+
+
+_ROUGE = f"w AS (SELECT a, b, list_distinct({_white('a')}) AS p, list_distinct({_white('b')}) AS q FROM labels)"
+
+
+@query(_with(_ROUGE, "labels")("SELECT a, b, round(CASE WHEN len(q) = 0 OR len(p) = 0 THEN 0 ELSE len(list_intersect(p, q))::double / len(q) END, 6) AS p, round(CASE WHEN len(p) = 0 OR len(q) = 0 THEN 0 ELSE len(list_intersect(p, q))::double / len(p) END, 6) AS r FROM w"))
+def rouge_one(s, d):
+    p, r, _ = T.rouge_n(F.col("a"), F.col("b"), 1)
+    return views.label_strings(s, d).select("a", "b", _r(p).alias("p"), _r(r).alias("r"))
+
+
+_ROUGE2 = f"w AS (SELECT a, b, {_white('a')} AS u, {_white('b')} AS v FROM labels), g AS (SELECT a, b, list_distinct(list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1])) AS p, list_distinct(list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1])) AS q FROM w)"
+
+
+@query(_with(_ROUGE2, "labels")("SELECT a, b, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(p, q))::double / len(q) END, 6) AS p, round(CASE WHEN len(p) = 0 THEN 0 ELSE len(list_intersect(p, q))::double / len(p) END, 6) AS r FROM g"))
+def rouge_two(s, d):
+    p, r, _ = T.rouge_n(F.col("a"), F.col("b"), 2)
+    return views.label_strings(s, d).select("a", "b", _r(p).alias("p"), _r(r).alias("r"))
+
+
+@query(_np(f"SELECT a, b, list_aggregate(list_transform({_lw('x')}, lambda w: w[1]), 'string_agg', '') AS acronym, x = y AS equal, (x <> '' AND contains(y, x))::int::double AS inside, starts_with(x, y) AS starts, suffix(x, y) AS ends_ FROM np WHERE x <> '' AND y <> ''"))
+def label_relations(s, d):
+    x, y = F.col("x"), F.col("y")
+    return _norm_pairs(s, d).filter("x <> '' AND y <> ''").select("a", "b", T.acronym(x).alias("acronym"), (x == y).alias("equal"), T.contains_nonempty(x, y).alias("inside"), F.startswith(x, y).alias("starts"), F.endswith(x, y).alias("ends_"))
+
+
+@query("SELECT iri, trim(replace(regexp_replace(regexp_extract(iri, '([^#/]*)$', 1), '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ')) AS readable, lower(trim(regexp_replace(regexp_extract(iri, '([^#/]*)$', 1), '[^a-zA-Z0-9]+', '_', 'g'), '_')) AS local FROM (SELECT DISTINCT iri FROM tgt_profiles)")
+def iri_names(s, d):
+    return table(s, d, "tgt_profiles").select("iri").distinct().select("iri", T.iri_label(F.col("iri")).alias("readable"), T.local_name(F.col("iri")).alias("local"))
+
+
+@query("""SELECT tag, CASE WHEN regexp_matches(tag, 'definition|description|scope_note|iao_0000115|p97') THEN 'definition' WHEN regexp_matches(tag, 'synonym|altlabel|full_syn|p90') THEN 'synonym'
+ WHEN regexp_matches(tag, 'label|pref|p108') THEN 'label' WHEN regexp_matches(tag, 'xref|code|identifier|database|hasdb') THEN 'xref' ELSE 'other' END AS role, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM src_profiles) WHERE tag IS NOT NULL GROUP BY ALL""")
+def tag_roles(s, d):
+    t = table(s, d, "src_profiles").select(F.explode("tags").alias("tag")).filter("tag IS NOT NULL")
+    return t.groupBy("tag", T.tag_role(F.col("tag")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id, '1,2,x, 4' AS t, 7::bigint AS total FROM embeddings")
+def number_grid(s, d):
+    return table(s, d, "embeddings").select("vec_id", F.lit("1,2,x, 4").alias("t")).withColumn("total", F.aggregate(T.parse_numbers(F.col("t")), F.lit(0).cast("bigint"), lambda a, x: a + x))
+
+
+# vectors and clouds
+
+
+@query(sql("""SELECT i, round(list_distance(a, b), 4) AS euclidean, round(list_cosine_similarity(a, b), 5) AS cosine, round(list_sum(list_transform(list_zip(a, b), lambda z: CASE WHEN abs(z[1]) + abs(z[2]) > 0 THEN abs(z[1] - z[2]) / (abs(z[1]) + abs(z[2])) ELSE 0 END)), 4) AS canberra,
+ round(list_max(list_transform(list_zip(a, b), lambda z: abs(z[1] - z[2]))), 5) AS chebyshev, round(power(list_sum(list_transform(list_zip(a, b), lambda z: power(abs(z[1] - z[2]), 3))), 1 / 3.0), 4) AS minkowski FROM vpairs""", "vpairs"))
+def vector_distances(s, d):
+    a, b = F.col("a"), F.col("b")
+    return views.vector_pairs(s, d).select("i", _r(V.euclidean(a, b), 4).alias("euclidean"), _r(V.cosine(a, b), 5).alias("cosine"), _r(V.canberra(a, b), 4).alias("canberra"), _r(V.chebyshev(a, b), 5).alias("chebyshev"), _r(V.minkowski(a, b), 4).alias("minkowski"))
+
+
+@query(sql(", u AS (SELECT i, unnest(a) AS a, unnest(b) AS b, generate_subscripts(a, 1) AS k FROM vpairs), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY a, k) AS ra, row_number() OVER (PARTITION BY i ORDER BY b, k) AS rb FROM u) SELECT i, round(corr(a, b), 5) AS pearson, round(corr(ra, rb), 5) AS spearman FROM r GROUP BY i", "vpairs").replace(") ,", "),"))
+def vector_correlations(s, d):
+    return views.vector_pairs(s, d).select("i", _r(V.pearson(F.col("a"), F.col("b")), 5).alias("pearson"), _r(V.spearman(F.col("a"), F.col("b")), 5).alias("spearman"))
+
+
+@query(sql(", u AS (SELECT i, unnest(a) AS a, unnest(b) AS b, generate_subscripts(a, 1) AS k FROM vpairs), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY a, k) AS ra, row_number() OVER (PARTITION BY i ORDER BY b, k) AS rb FROM u) SELECT i, round(sqrt(sum(power(a - b, 2))), 4) AS euclidean, round(corr(a, b), 5) AS pearson, round(corr(ra, rb), 5) AS spearman FROM r GROUP BY i", "vpairs").replace(") ,", "),"))
+def classical_bundle(s, d):
+    p = views.vector_pairs(s, d).withColumn("x", V.classical_col("a", "b"))
+    return p.select("i", _r(F.col("x.cls_euclidean"), 4).alias("euclidean"), _r(F.col("x.cls_pearson"), 5).alias("pearson"), _r(F.col("x.cls_spearman"), 5).alias("spearman"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 4) AS norm, CASE WHEN list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0 THEN 1.0 ELSE 0.0 END AS unit FROM embeddings")
+def vector_norms(s, d):
+    v = table(s, d, "embeddings")
+    return v.select("vec_id", _r(V.norm(F.col("embedding")), 4).alias("norm"), _r(V.norm(V.l2_normalize(F.col("embedding"))), 6).alias("unit"))
+
+
+@query("SELECT cloud_id, k, round(avg(x), 5) AS mean, max(x) AS high FROM (SELECT vec_id // 8 AS cloud_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1)::int AS k FROM embeddings) GROUP BY ALL")
+def pooling(s, d):
+    c = views.clouds(s, d).select("cloud_id", V.mean_pool(F.col("cloud"), 64).alias("m"), V.max_pool(F.col("cloud"), 64).alias("h"))
+    return c.select("cloud_id", F.posexplode(F.arrays_zip("m", "h")).alias("k", "z")).select("cloud_id", (F.col("k") + 1).alias("k"), _r(F.col("z.m"), 5).alias("mean"), F.col("z.h").alias("high"))
+
+
+@query()
+def spectra(s, d):
+    c = views.clouds(s, d).withColumn("x", C.spectra_col("cloud"))
+    return c.select("cloud_id", *[_r(F.col(f"x.{n}")).alias(n) for n in C.SPECTRA])
+
+
+def _cloud_pairs(s, d):
+    c = views.clouds(s, d)
+    return c.select("cloud_id", F.col("cloud").alias("src_cloud")).join(c.select((F.col("cloud_id") - 1).alias("cloud_id"), F.col("cloud").alias("tgt_cloud")), "cloud_id")
+
+
+@query()
+def topology(s, d):
+    p = _cloud_pairs(s, d).withColumn("x", C.tda_pair_col("src_cloud", "tgt_cloud"))
+    return p.select("cloud_id", *[_r(F.col(f"x.{n}")).alias(n) for n in C.TDA], "x.truncated")
+
+
+@query("""WITH c AS (SELECT vec_id // 8 AS cloud_id, vec_id, embedding AS v FROM embeddings), r AS (SELECT x.cloud_id, x.vec_id, any_value(x.v) AS v, min(list_distance(x.v, y.v)) AS r FROM c x JOIN c y ON x.cloud_id = y.cloud_id AND x.vec_id <> y.vec_id GROUP BY ALL),
+ n AS (SELECT r.cloud_id, r.vec_id, r.r, min(list_distance(r.v, y.v)) AS m FROM r JOIN c y ON y.cloud_id = r.cloud_id + 1 GROUP BY ALL) SELECT cloud_id, round(avg((m <= r)::int), 6) AS a2b FROM n GROUP BY cloud_id""")
+def cloud_overlap(s, d):
+    return _cloud_pairs(s, d).select("cloud_id", _r(C.overlap_col("src_cloud", "tgt_cloud")["a2b"]).alias("a2b"))
+
+
+@query("""WITH v AS (SELECT 'v' || vec_id AS iri, vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT x.iri AS src_iri, y.iri AS tgt_iri, round(list_cosine_similarity(x.e, y.e), 9) AS c FROM v x, v y WHERE x.vec_id % 2 = 0 AND y.vec_id % 2 = 1)
+ SELECT src_iri, tgt_iri, round(c, 5) AS score, row_number() OVER (PARTITION BY src_iri ORDER BY c DESC, tgt_iri)::int AS rank FROM p QUALIFY rank <= 5""")
+def nearest_vectors(s, d):
+    n = dense.nearest(views.vectors(s, d, 0), views.vectors(s, d, 1), 5)
+    return n.select("src_iri", "tgt_iri", _r(F.col("score"), 5).alias("score"), "rank")
+
+
+@query()
+def mutual_vectors(s, d):
+    """Pairs found from both sides."""
+    return pipeline.align_by_vectors(views.vectors(s, d, 0), views.vectors(s, d, 1), 5).withColumn("score", _r(F.col("score"), 5))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT vec_id) AS n_iri, count(*) FILTER (embedding IS NULL) AS n_null, min(len(embedding))::int AS min_dim, max(len(embedding))::int AS max_dim, 0::bigint AS n_bad FROM embeddings")
+def vector_quality(s, d):
+    return dense.vector_quality(views.vectors(s, d))
+
+
+# ranks
+
+
+@query(sql("SELECT src_iri, tgt_iri, score, row_number() OVER (PARTITION BY src_iri ORDER BY score DESC, tgt_iri)::int AS src_rank, row_number() OVER (PARTITION BY tgt_iri ORDER BY score DESC, src_iri)::int AS tgt_rank FROM scored", "scored"))
+def row_numbers(s, d):
+    return ranking.both_row_numbers(views.scored(s, d))
+
+
+_COS = "cs AS (SELECT src_iri, tgt_iri, max(sapbert_cosine) AS c FROM candidates WHERE src_iri IS NOT NULL AND tgt_iri IS NOT NULL AND sapbert_cosine IS NOT NULL AND NOT isnan(sapbert_cosine) GROUP BY ALL), rk AS (SELECT *, rank() OVER (PARTITION BY src_iri ORDER BY c DESC)::int AS rank_src_tgt, rank() OVER (PARTITION BY tgt_iri ORDER BY c DESC)::int AS rank_tgt_src FROM cs)"
+
+
+def _cosines(s, d):
+    c = views.cands(s, d).filter("sapbert_cosine IS NOT NULL AND NOT isnan(sapbert_cosine)").groupBy("src_iri", "tgt_iri").agg(F.max("sapbert_cosine").alias("c"))
+    return ranking.both_ranks(c, "c")
+
+
+@query(f"WITH {_COS} SELECT * FROM rk")
+def shared_ranks(s, d):
+    return _cosines(s, d)
+
+
+@query(f"WITH {_COS} SELECT src_iri, tgt_iri, least(rank_src_tgt, rank_tgt_src) AS rank_min, greatest(rank_src_tgt, rank_tgt_src) AS rank_max, abs(rank_src_tgt - rank_tgt_src) AS rank_diff, round(1 / (10.0 + rank_src_tgt) + 1 / (10.0 + rank_tgt_src), 6) AS rrf, (rank_src_tgt <= 1 AND rank_tgt_src <= 1)::int AS mutual_top1, (rank_src_tgt <= 5 AND rank_tgt_src <= 5)::int AS mutual_top5, (rank_src_tgt <= 10 AND rank_tgt_src <= 10)::int AS mutual_top10 FROM rk")
+def rank_fusion(s, d):
+    return ranking.bidirectional_features(_cosines(s, d)).withColumn("rrf", _r(F.col("rrf"))).select("src_iri", "tgt_iri", "rank_min", "rank_max", "rank_diff", "rrf", "mutual_top1", "mutual_top5", "mutual_top10")
+
+
+@query(f"WITH {_COS} SELECT 'and' AS rule, src_iri, tgt_iri FROM rk WHERE rank_src_tgt <= 3 AND rank_tgt_src <= 3 UNION ALL SELECT 'or', src_iri, tgt_iri FROM rk WHERE rank_src_tgt <= 3 OR rank_tgt_src <= 3")
+def rank_rules(s, d):
+    r = _cosines(s, d)
+    return r.filter(ranking.rank_rule("and", 3)).select(F.lit("and").alias("rule"), "src_iri", "tgt_iri").unionByName(r.filter(ranking.rank_rule("or", 3)).select(F.lit("or").alias("rule"), "src_iri", "tgt_iri"))
+
+
+@query(sql("SELECT src_iri, tgt_iri, round((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0) / count(*) OVER (), 6) AS pct FROM oof", "oof"))
+def percent_ranks(s, d):
+    p = ranking.pct_ranks(views.oof(s, d), ["src_iri", "tgt_iri"], ["score"], "r_")
+    return p.select("src_iri", "tgt_iri", _r(F.col("r_score")).alias("pct"))
+
+
+@query(sql("SELECT src_iri, tgt_iri, score, round((SELECT count(*) FROM oof o WHERE o.score <= s.score) / (SELECT count(*)::double FROM oof), 6) AS cdf FROM scored s", "scored", "oof"))
+def empirical_cdf(s, d):
+    return ranking.ecdf(views.scored(s, d), "score", views.oof(s, d), "score").select("src_iri", "tgt_iri", "score", _r(F.col("cdf")).alias("cdf"))
+
+
+_PREFIX = ", g AS (SELECT score AS threshold, count(*) AS c, sum(label) AS p FROM oof GROUP BY score), w AS (SELECT threshold, (sum(c) OVER (ORDER BY threshold DESC))::bigint AS n, (sum(p) OVER (ORDER BY threshold DESC))::bigint AS tp FROM g), t AS (SELECT count(*) AS total FROM oof WHERE label = 1)"
+
+
+@query(sql("@", "oof").replace(" @", _PREFIX + " SELECT threshold, n, tp, round(tp / n::double, 6) AS precision, round(tp / total::double, 6) AS recall, round(2.0 * tp / (n + total), 6) AS f1 FROM w, t ORDER BY 2.0 * tp / (n + total) DESC, threshold DESC LIMIT 1"))
+def best_prefix(s, d):
+    o = views.oof(s, d)
+    b = ranking.best_prefix(o, "score", "label", o.filter("label = 1").count())
+    return b.select("threshold", "n", "tp", *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(sql("SELECT src_iri, tgt_iri, count(*) OVER (PARTITION BY src_iri) AS s_group_size, round(CASE WHEN count(*) OVER (PARTITION BY src_iri) > 1 THEN (r - 1.0) / (count(*) OVER (PARTITION BY src_iri) - 1) ELSE 0 END, 6) AS s_percentile, round(1.0 / r, 6) AS s_reciprocal, round(ln(1 + r), 6) AS s_log FROM (SELECT *, row_number() OVER (PARTITION BY src_iri ORDER BY score DESC, tgt_iri) AS r FROM scored)", "scored"))
+def rank_shapes(s, d):
+    f = ranking.rank_features(ranking.both_row_numbers(views.scored(s, d)), "src_rank", "src_iri", "s")
+    return f.select("src_iri", "tgt_iri", "s_group_size", *[_r(F.col(f"s_{c}")).alias(f"s_{c}") for c in ("percentile", "reciprocal", "log")])
+
+
+@query(sql("SELECT src_iri, round(max(score) - coalesce(max(score) FILTER (r = 2), 0), 6) AS margin FROM (SELECT src_iri, score, dense_rank() OVER (PARTITION BY src_iri ORDER BY score DESC) AS r FROM scored) GROUP BY src_iri", "scored"))
+def group_margins(s, d):
+    return ranking.group_margin(views.scored(s, d), "src_iri", "score").withColumn("margin", _r(F.col("margin")))
+
+
+@query(sql("SELECT src_iri, tgt_iri, score, coalesce(lead(score) OVER w, 0) AS second FROM scored WINDOW w AS (PARTITION BY src_iri ORDER BY score DESC, tgt_iri) QUALIFY row_number() OVER w = 1", "scored"))
+def best_with_second(s, d):
+    return ranking.best_with_second(views.scored(s, d)).drop("margin")
+
+
+@query(sql("SELECT src_iri, coalesce(max(score) FILTER (r = 3), 0) AS value FROM (SELECT src_iri, score, row_number() OVER (PARTITION BY src_iri ORDER BY score DESC) AS r FROM scored) GROUP BY src_iri", "scored"))
+def third_best(s, d):
+    return ranking.nth_best(views.scored(s, d), "src_iri", "score", 3)
+
+
+@query(sql("SELECT src_iri, tgt_iri, round(max(score) OVER (PARTITION BY src_iri) - score, 6) AS gap FROM scored", "scored"))
+def gap_from_best(s, d):
+    x = views.scored(s, d)
+    return x.select("src_iri", "tgt_iri", _r(ranking.gap_from_best(x, "src_iri", "score")).alias("gap"))
+
+
+@query(sql("SELECT src_iri, coalesce(min(r) FILTER (label = 1), 0)::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src_iri ORDER BY score DESC, tgt_iri) AS r FROM oof) GROUP BY src_iri", "oof"))
+def correct_ranks(s, d):
+    return ranking.correct_ranks(views.oof(s, d), "score", "label")
+
+
+# metrics and aggregates
+
+
+@query(_with(_MUTUAL, "scored", "gold")("SELECT tp, n - tp AS fp, t - tp AS fn, round(tp / n::double, 6) AS precision, round(tp / t::double, 6) AS recall, round(2.0 * tp / (n + t), 6) AS f1 FROM (SELECT (SELECT count(*) FROM m) AS n, (SELECT count(*) FROM (SELECT DISTINCT src_iri, tgt_iri FROM gold)) AS t, (SELECT count(*) FROM (SELECT src_iri, tgt_iri FROM m INTERSECT SELECT src_iri, tgt_iri FROM gold)) AS tp)"))
+def alignment_metrics(s, d):
+    m = evaluation.alignment_metrics(_mutual(s, d), views.gold(s, d))
+    return m.select("tp", "fp", "fn", *[_r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(sql("SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn)::double, 6) AS accuracy, round(tp / (tp + fp)::double, 6) AS precision, round(tp / (tp + fn)::double, 6) AS recall FROM (SELECT count(*) FILTER (label = 1 AND score >= 0.5) AS tp, count(*) FILTER (label = 0 AND score >= 0.5) AS fp, count(*) FILTER (label = 1 AND score < 0.5) AS fn, count(*) FILTER (label = 0 AND score < 0.5) AS tn FROM oof)", "oof"))
+def confusion(s, d):
+    c = evaluation.confusion(views.oof(s, d).withColumn("p", (F.col("score") >= 0.5).cast("int")), "label", "p")
+    return c.select("tp", "fp", "fn", "tn", *[_r(F.col(x)).alias(x) for x in ("accuracy", "precision", "recall")])
+
+
+@query(sql("SELECT count(*) AS n, count(*) FILTER (r > 0) AS n_found, round(avg(CASE WHEN r > 0 THEN 1.0 / r ELSE 0 END), 6) AS mrr, round(avg((r BETWEEN 1 AND 1)::int), 6) AS hits_1, round(avg((r BETWEEN 1 AND 5)::int), 6) AS hits_5, round(avg((r BETWEEN 1 AND 10)::int), 6) AS hits_10 FROM (SELECT coalesce(min(r) FILTER (label = 1), 0) AS r FROM (SELECT *, row_number() OVER (PARTITION BY src_iri ORDER BY score DESC, tgt_iri) AS r FROM oof) GROUP BY src_iri)", "oof"))
+def ranking_metrics(s, d):
+    m = evaluation.ranking_metrics(ranking.correct_ranks(views.oof(s, d), "score", "label"))
+    return m.select("n", "n_found", *[_r(F.col(c)).alias(c) for c in ("mrr", "hits_1", "hits_5", "hits_10")])
+
+
+@query(sql("@", "oof").replace(" @", ", g AS (SELECT score, count(*) AS c, sum(label) AS p FROM oof GROUP BY score), w AS (SELECT *, coalesce(sum(c - p) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(p) OVER (ORDER BY score DESC) AS h, sum(c) OVER (ORDER BY score DESC) AS n FROM g) SELECT sum(c)::bigint AS n, sum(p)::bigint AS n_pos, round(sum(p * (b + (c - p) / 2.0)) / (sum(p) * sum(c - p)), 6) AS auc, round(sum(p * h / n::double) / sum(p), 6) AS ap FROM w"))
+def auc_ap(s, d):
+    return evaluation.auc_ap(views.oof(s, d), "score", "label").select("n", "n_pos", _r(F.col("auc")).alias("auc"), _r(F.col("ap")).alias("ap"))
+
+
+@query("""WITH x AS (SELECT label, unnest(['overlap_score', 'sapbert_cosine']) AS feature, unnest([overlap_score, sapbert_cosine]) AS value FROM candidates WHERE label IS NOT NULL) SELECT feature, round(avg(value) FILTER (label = 1), 6) AS mean_pos, round(avg(value) FILTER (label = 0), 6) AS mean_neg, round(median(value) FILTER (label = 1), 6) AS median_pos,
+ round(median(value) FILTER (label = 0), 6) AS median_neg, round(avg((value <> 0)::int), 6) AS nonzero_rate, round((avg(value) FILTER (label = 1) - avg(value) FILTER (label = 0)) / stddev_pop(value), 5) AS smd FROM x WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY feature""")
+def feature_statistics(s, d):
+    c = table(s, d, "candidates").filter("label IS NOT NULL")
+    f = evaluation.feature_statistics(c, ["overlap_score", "sapbert_cosine"])
+    return f.select("feature", *[_r(F.col(x)).alias(x) for x in ("mean_pos", "mean_neg", "median_pos", "median_neg", "nonzero_rate")], _r(F.col("smd"), 5).alias("smd"))
+
+
+def _signals(s, d):
+    p = views.label_pairs(s, d).filter("src_label IS NOT NULL AND tgt_label IS NOT NULL AND label IS NOT NULL")
+    common = F.array_intersect(T.ascii_tokens(F.col("src_label")), T.ascii_tokens(F.col("tgt_label")))
+    totals = p.agg(F.count(F.when(F.col("label") == 1, 1)).alias("n_true"), F.count(F.when(F.col("label") == 0, 1)).alias("n_false"))
+    return p.select("label", F.explode(common).alias("signal")), totals
+
+
+_SIG = """l AS (SELECT src_iri, tgt_iri, min(src_label) AS a, min(tgt_label) AS b, max(label) AS label FROM cands GROUP BY ALL), p AS (SELECT * FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND label IS NOT NULL), t AS (SELECT count(*) FILTER (label = 1)::double AS nt, count(*) FILTER (label = 0)::double AS nf FROM p),
+ x AS (SELECT label, unnest(list_intersect(list_distinct(regexp_extract_all(lower(a), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(b), '[a-z0-9]+')))) AS signal FROM p), c AS (SELECT signal, count(*) FILTER (label = 1) AS n_true, count(*) FILTER (label = 0) AS n_false FROM x GROUP BY signal HAVING count(*) >= 3)"""
+
+
+@query(_with(_SIG, "cands")("SELECT signal, n_true, n_false, round(n_true / nt, 6) AS rate_true, round(n_false / nf, 6) AS rate_false, round(ln((n_true + 0.5) / (nt - n_true + 0.5)) - ln((n_false + 0.5) / (nf - n_false + 0.5)), 5) AS log_odds FROM c, t"))
+def shared_word_signals(s, d):
+    rows, totals = _signals(s, d)
+    t = evaluation.signal_table(rows, "signal", "label", totals, 3)
+    return t.select("signal", "n_true", "n_false", _r(F.col("rate_true")).alias("rate_true"), _r(F.col("rate_false")).alias("rate_false"), _r(F.col("log_odds"), 5).alias("log_odds"))
+
+
+@query(sql("SELECT fold, count(*) AS n_gold, count(c) AS n_covered, round(count(c) / count(*)::double, 6) AS recall FROM (SELECT src_iri, tgt_iri, min(fold) AS fold FROM gold WHERE fold IS NOT NULL GROUP BY ALL) g LEFT JOIN (SELECT DISTINCT src_iri, tgt_iri, 1 AS c FROM cands) k USING (src_iri, tgt_iri) GROUP BY fold", "gold", "cands"))
+def candidate_recall(s, d):
+    g = views.gold(s, d).filter("fold IS NOT NULL").groupBy("src_iri", "tgt_iri").agg(F.min("fold").alias("fold"))
+    return evaluation.candidate_recall(views.cands(s, d), g, "fold").withColumn("recall", _r(F.col("recall")))
+
+
+_VOTES = """ex AS (SELECT src_iri, tgt_iri, 'bio' AS e, max(bio_score) AS s FROM predictions WHERE bio_score >= 0.5 AND NOT isnan(bio_score) GROUP BY ALL UNION ALL SELECT src_iri, tgt_iri, 'model', max(model_score) FROM predictions WHERE model_score >= 0.5 AND NOT isnan(model_score) GROUP BY ALL UNION ALL SELECT src_iri, tgt_iri, 'oof', max(score) FROM oof_scores WHERE score >= 0.5 AND NOT isnan(score) GROUP BY ALL),
+ vt AS (SELECT src_iri, tgt_iri, count(DISTINCT e) AS votes, avg(s) AS mean_score, max(s) AS max_score FROM ex GROUP BY ALL)"""
+
+
+def _voted(s, d):
+    def ex(name, t, c):
+        v = table(s, d, t).filter(F.col("src_iri").isNotNull() & F.col("tgt_iri").isNotNull() & (F.col(c) >= 0.5) & ~F.isnan(c))
+        return v.groupBy("src_iri", "tgt_iri").agg(F.max(c).alias("score"))
+
+    parts = {"bio": ex("bio", "predictions", "bio_score"), "model": ex("model", "predictions", "model_score"), "oof": ex("oof", "oof_scores", "score")}
+    return matching.votes(pipeline.expert_votes(parts))
+
+
+@query(f"WITH {_VOTES} SELECT src_iri, tgt_iri, votes, round(mean_score, 9) AS mean_score, max_score FROM vt WHERE src_iri IS NOT NULL AND tgt_iri IS NOT NULL")
+def expert_votes(s, d):
+    return _voted(s, d).withColumn("mean_score", _r(F.col("mean_score"), 9))
+
+
+@query(f"WITH {_VOTES} SELECT k AS votes, (SELECT count(*) FROM vt WHERE votes = k AND src_iri IS NOT NULL AND tgt_iri IS NOT NULL) AS n FROM range(1, 10) r(k)")
+def vote_histogram(s, d):
+    return matching.vote_histogram(_voted(s, d))
+
+
+@query(f"WITH {_VOTES} SELECT k, (SELECT count(*) FROM vt WHERE votes >= k AND src_iri IS NOT NULL AND tgt_iri IS NOT NULL) AS n FROM range(1, 10) r(k)")
+def vote_thresholds(s, d):
+    return matching.vote_thresholds(_voted(s, d)).select("k", "n")
+
+
+@query()
+def consensus_matches(s, d):
+    """Greedy one-to-one matching of pairs with two votes."""
+    return matching.consensus(_voted(s, d), 2).select("src_iri", "tgt_iri", "votes")
+
+
+# matching
+
+
+@query(_with(_MUTUAL, "scored")("SELECT * FROM m"))
+def mutual_best(s, d):
+    return _mutual(s, d)
+
+
+@query(sql("SELECT src_iri, tgt_iri, score FROM scored WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY src_iri ORDER BY score DESC, tgt_iri) = 1", "scored"))
+def top1_source(s, d):
+    return matching.top1(views.scored(s, d), threshold=0.3)
+
+
+@query()
+def greedy_matching(s, d):
+    """Equality with the sequential result is tested."""
+    return matching.select_matches(views.scored(s, d), 0.1, "greedy_1to1")
+
+
+@query()
+def mutual_then_greedy(s, d):
+    return matching.select_matches(views.scored(s, d), 0.1, "mutual_then_greedy", mutual_threshold=0.5)
+
+
+@query()
+def recovery_matching(s, d):
+    return matching.recovery(views.scored(s, d), 0.6, 0.2, 0.05, 5).select("src_iri", "tgt_iri", "score", "stage")
+
+
+@query(_with(_MUTUAL, "scored", "gold")("SELECT t::double AS threshold, (SELECT count(*) FROM m WHERE score >= t) AS n, (SELECT count(*) FROM m SEMI JOIN (SELECT DISTINCT src_iri, tgt_iri FROM gold) g USING (src_iri, tgt_iri) WHERE score >= t) AS tp FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS t)"))
+def threshold_sweep(s, d):
+    return matching.threshold_sweep(_mutual(s, d), views.gold(s, d), grid=[0.1, 0.3, 0.5, 0.7, 0.9]).select("threshold", "n", "tp")
+
+
+# retrieval
+
+
+@query("SELECT term, count(*) AS df FROM (SELECT DISTINCT iri, unnest(regexp_extract_all(lower(label_raw), '[a-z0-9]+')) AS term FROM src_profiles) GROUP BY term")
+def token_frequency(s, d):
+    return retrieval.token_frequency(retrieval.inverted_index(table(s, d, "src_profiles"), "iri", "label_raw"))
+
+
+_OVERLAP = """q AS (SELECT DISTINCT iri, unnest(regexp_extract_all(lower(label), '[a-z0-9]+')) AS t FROM src_ents), c AS (SELECT DISTINCT iri, unnest(regexp_extract_all(lower(label), '[a-z0-9]+')) AS t FROM tgt_ents), nq AS (SELECT iri, count(*) AS n FROM q GROUP BY iri), nc AS (SELECT iri, count(*) AS n FROM c GROUP BY iri),
+ j AS (SELECT q.iri AS src_iri, c.iri AS tgt_iri, count(*) AS n_common FROM q JOIN c USING (t) GROUP BY ALL), z AS (SELECT j.*, n_common / (nq.n + nc.n - n_common)::double AS jaccard, row_number() OVER (PARTITION BY src_iri ORDER BY n_common DESC, n_common / (nq.n + nc.n - n_common)::double DESC, abs(nq.n - nc.n), tgt_iri DESC) AS rank FROM j JOIN nq ON nq.iri = src_iri JOIN nc ON nc.iri = tgt_iri)"""
+
+
+@query(_with(_OVERLAP, "src_ents", "tgt_ents")("SELECT src_iri, tgt_iri, n_common, round(jaccard, 6) AS jaccard, rank::int AS rank FROM z WHERE rank <= 5"))
+def top_token_overlap(s, d):
+    t = retrieval.top_token_overlap(views.ents(s, d, "src"), views.ents(s, d, "tgt"), "iri", "label", 5)
+    return t.withColumn("jaccard", _r(F.col("jaccard")))
+
+
+_TFIDF = """docs AS (SELECT * FROM src_ents UNION ALL SELECT * FROM tgt_ents), w AS (SELECT iri, regexp_extract_all(lower(label), '\\b\\w\\w+\\b') AS w FROM docs), g AS (SELECT iri, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT iri, term, count(*) AS tf FROM g GROUP BY ALL),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), x AS (SELECT iri, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM docs)) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term)), n AS (SELECT iri, term, w / sqrt(sum(w * w) OVER (PARTITION BY iri)) AS weight FROM x)"""
+
+
+def _word_tfidf(s, d):
+    docs = views.ents(s, d, "src").unionByName(views.ents(s, d, "tgt"))
+    return retrieval.tfidf(docs, "iri", "label", retrieval.terms_word(1, 2), min_df=2, sublinear=True)
+
+
+@query(_with(_TFIDF, "src_ents", "tgt_ents")("SELECT iri, term, round(weight, 6) AS weight FROM n"))
+def tfidf_words(s, d):
+    return _word_tfidf(s, d).withColumn("weight", _r(F.col("weight")))
+
+
+@query()
+def tfidf_chars(s, d):
+    docs = views.ents(s, d, "src").unionByName(views.ents(s, d, "tgt"))
+    return retrieval.tfidf(docs, "iri", "label", retrieval.terms_char(3, 5), min_df=2, max_features=250_000).withColumn("weight", _r(F.col("weight")))
+
+
+@query(_with(_TFIDF, "src_ents", "tgt_ents")("SELECT src_iri, tgt_iri, round(s, 5) AS score FROM (SELECT a.iri AS src_iri, b.iri AS tgt_iri, round(sum(a.weight * b.weight), 9) AS s FROM n a JOIN n b USING (term) WHERE a.iri IN (SELECT iri FROM src_ents) AND b.iri IN (SELECT iri FROM tgt_ents) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY src_iri ORDER BY s DESC, tgt_iri) <= 3"))
+def top_tfidf(s, d):
+    w = materialize(_word_tfidf(s, d), "tfidf")
+    j = retrieval.term_join(retrieval.restrict(w, views.ents(s, d, "src")), retrieval.restrict(w, views.ents(s, d, "tgt"))).withColumn("score", F.round("score", 9))
+    return retrieval.top_k(j, 3).select("src_iri", "tgt_iri", _r(F.col("score"), 5).alias("score"))
+
+
+@query()
+def heuristic_candidates(s, d):
+    p = views.label_pairs(s, d).filter("src_label IS NOT NULL AND tgt_label IS NOT NULL")
+    df = retrieval.token_frequency(retrieval.inverted_index(table(s, d, "tgt_profiles"), "iri", "label_raw"))
+    return retrieval.heuristic_candidates(p, "src_label", "tgt_label", df).withColumn("score", _r(F.col("score")))
+
+
+_GRIDQ = """SELECT m AS min_common, ko AS k_overlap, kt AS k_tfidf, kn AS k_neigh, count(*) FILTER (ok) AS n_candidates, count(*) FILTER (ok AND hit) AS n_hits FROM (SELECT m, ko, kt, kn, (overlap_score >= m AND overlap_rank <= ko) OR tfidf_rank <= kt OR (kn > 0 AND neigh_rank <= kn) AS ok, hit FROM
+ (SELECT src_iri, tgt_iri, max(overlap_score) AS overlap_score, min(overlap_rank) AS overlap_rank, min(tfidf_rank) AS tfidf_rank, min(neigh_rank) AS neigh_rank, (src_iri, tgt_iri) IN (SELECT (src_iri, tgt_iri) FROM gold) AS hit FROM cands GROUP BY ALL), (SELECT unnest([1, 2, 3]) AS m), (SELECT unnest([5, 10, 20]) AS ko), (SELECT unnest([3, 5, 10]) AS kt), (SELECT unnest([0, 3]) AS kn)) GROUP BY ALL"""
+
+
+@query(sql(_GRIDQ, "cands", "gold"))
+def candidate_grid(s, d):
+    return retrieval.grid_metrics(merge_shards(s, d), views.gold(s, d)).drop("recall")
+
+
+@query()
+def candidate_choice(s, d):
+    return retrieval.smallest_near_best(retrieval.grid_metrics(merge_shards(s, d), views.gold(s, d)))
+
+
+@query()
+def align_token_overlap(s, d):
+    """The flagship: shared label words, Jaccard, one to one."""
+    return pipeline.align_by_overlap(views.ents(s, d, "src"), views.ents(s, d, "tgt")).withColumn("score", _r(F.col("score")))
+
+
+# hierarchy
+
+
+_UP = "up AS (SELECT child AS iri, parent AS node, 1 AS depth FROM edges UNION ALL SELECT up.iri, e.parent, up.depth + 1 FROM up JOIN edges e ON e.child = up.node WHERE up.depth < 4)"
+
+
+@query(_with(_UP, "edges")("SELECT iri, node, min(depth)::int AS depth FROM up GROUP BY ALL"))
+def ancestor_layers(s, d):
+    return ontology.layers(views.edges(s, d), "up")
+
+
+@query(_with(_UP, "edges")("SELECT node AS iri, iri AS node, min(depth)::int AS depth FROM up GROUP BY ALL"))
+def descendant_layers(s, d):
+    return ontology.layers(views.edges(s, d), "down")
+
+
+@query(sql("SELECT DISTINCT a.child AS iri, b.child AS node FROM edges0 a JOIN edges0 b USING (parent) WHERE a.child <> b.child", "edges0"))
+def siblings(s, d):
+    return ontology.siblings(views.edges(s, d, orders=False))
+
+
+_SIB = "sb AS (SELECT DISTINCT a.child AS iri, b.child AS node FROM edges0 a JOIN edges0 b USING (parent) WHERE a.child <> b.child)"
+
+
+@query(_with(_SIB, "edges0")("SELECT iri, count(*) AS n FROM (SELECT DISTINCT e.child AS iri, k.child AS node FROM edges0 e JOIN sb ON sb.iri = e.parent JOIN edges0 k ON k.parent = sb.node WHERE e.child <> k.child EXCEPT SELECT iri, node FROM sb) GROUP BY iri"))
+def cousin_counts(s, d):
+    return ontology.cousins(views.edges(s, d, orders=False)).groupBy("iri").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql("SELECT n.iri, n.label, coalesce(p.c, 0) AS n_parents, coalesce(k.c, 0) AS n_children FROM nodes n LEFT JOIN (SELECT child, count(*) AS c FROM edges0 GROUP BY child) p ON p.child = n.iri LEFT JOIN (SELECT parent, count(*) AS c FROM edges0 GROUP BY parent) k ON k.parent = n.iri", "nodes", "edges0"))
+def entity_counts(s, d):
+    return ontology.with_counts(views.nodes(s, d), views.edges(s, d, orders=False))
+
+
+@query(sql("SELECT n.iri, coalesce(string_agg(x.label, ' | ' ORDER BY x.node), '') AS document FROM nodes n LEFT JOIN (SELECT b.iri, b.node, l.label FROM (SELECT child AS iri, parent AS node FROM edges0 UNION SELECT parent, child FROM edges0) b JOIN nodes l ON l.iri = b.node QUALIFY row_number() OVER (PARTITION BY b.iri ORDER BY b.node) <= 20) x ON x.iri = n.iri GROUP BY n.iri", "nodes", "edges0"))
+def neighbourhood_documents(s, d):
+    return ontology.neighbourhood_documents(views.nodes(s, d), views.edges(s, d, orders=False))
+
+
+@query(sql("SELECT child AS x, parent AS y FROM edges UNION SELECT parent, child FROM edges", "edges"))
+def undirected_edges(s, d):
+    return ontology.undirected(views.edges(s, d))
+
+
+@query()
+def relation_groups(s, d):
+    """How many entities each kind of relation leads to."""
+    r = ontology.relations(views.edges(s, d, orders=False))
+    return r.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("iri").alias("n_entities"))
+
+
+@query("""SELECT src_iri, tgt_iri, count(*) AS n FROM (SELECT DISTINCT c.src_iri, c.tgt_iri, a.tag AS x, b.tag AS y FROM (SELECT DISTINCT src_iri, tgt_iri FROM candidates) c JOIN (SELECT DISTINCT iri, unnest(tags) AS tag FROM src_profiles) a ON a.iri = c.src_iri JOIN (SELECT DISTINCT iri, unnest(tags) AS tag FROM tgt_profiles) b ON b.iri = c.tgt_iri AND a.tag = b.tag) GROUP BY ALL""")
+def tag_join(s, d):
+    t = lambda side: table(s, d, f"{side}_profiles").select("iri", F.explode("tags").alias("tag")).filter("tag IS NOT NULL").withColumn("value", F.col("tag")).distinct()
+    return ontology.tag_pairs(t("src"), t("tgt"), views.cands(s, d)).groupBy("src_iri", "tgt_iri").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def id_fingerprint(s, d):
+    return ontology.fingerprint(views.ents(s, d, "src"))
+
+
+# entity statistics, gates and learners
+
+
+@query(sql("SELECT src_iri AS entity, count(*)::double AS n, round(max(score), 9) AS top, round(avg(score), 9) AS mean, round(median(score), 9) AS median, round(stddev_pop(score), 9) AS std, round(quantile_cont(score, 0.25), 9) AS q25, round(quantile_cont(score, 0.9), 9) AS q90, count(*) FILTER (score >= 0.5)::double AS above FROM scored GROUP BY src_iri", "scored"))
+def entity_statistics(s, d):
+    e = entity.entity_statistics(views.scored(s, d), "src_iri")
+    names = {"count": "n", "top1": "top", "mean": "mean", "median": "median", "std": "std", "q25": "q25", "q90": "q90", "above_threshold": "above"}
+    return e.select("entity", *[_r(F.col(f"feat__{k}"), 9).alias(v) for k, v in names.items()])
+
+
+_HHI = "t AS (SELECT src_iri, sum(greatest(score, 0)) AS s, count(*) AS n, max(score) AS top FROM scored GROUP BY src_iri), p AS (SELECT src_iri, n, CASE WHEN s > 1e-12 THEN greatest(score, 0) / s ELSE 1.0 / n END AS p, exp(greatest(-60, (score - top) / 0.1)) AS e FROM scored JOIN t USING (src_iri)), q AS (SELECT *, e / sum(e) OVER (PARTITION BY src_iri) AS w FROM p)"
+
+
+@query(_with(_HHI, "scored")("SELECT src_iri AS entity, round(sum(p * p), 6) AS hhi, round(0.0 - sum(p * ln(greatest(p, 1e-12))), 5) AS mass_entropy, round(CASE WHEN count(*) > 1 THEN 0.0 - sum(w * ln(greatest(w, 1e-12))) ELSE 0 END, 5) AS soft FROM q GROUP BY src_iri"))
+def entity_entropies(s, d):
+    e = entity.entity_statistics(views.scored(s, d), "src_iri")
+    return e.select("entity", _r(F.col("feat__hhi")).alias("hhi"), _r(F.col("feat__mass_entropy"), 5).alias("mass_entropy"), _r(F.col("feat__soft_entropy_t010"), 5).alias("soft"))
+
+
+@query()
+def entity_table(s, d):
+    """All 54 statistics and their percent ranks."""
+    t = entity.entity_table(views.oof(s, d), "src_iri", label="label")
+    return t.select("entity", "label", *[_r(F.col(c)).alias(c) for c in t.columns[2:]])
+
+
+@query()
+def entity_confidence(s, d):
+    return entity.v3_confidence(views.scored(s, d), "src_iri").withColumn("confidence", _r(F.col("confidence")))
+
+
+@query()
+def gate_sweep(s, d):
+    p = materialize(entity.attach_confidence(views.oof(s, d).filter("score >= 0.3")), "conf")
+    return entity.gate_sweep(p, views.oof(s, d).filter("label = 1")).select("gate", "q", "n", "tp", _r(F.col("recall_ratio")).alias("recall_ratio"))
+
+
+@query()
+def gate_tiers(s, d):
+    p = views.oof(s, d).filter("score >= 0.3").select("src_iri", "tgt_iri", "score")
+    return pipeline.gated(p, views.oof(s, d).filter("label = 1")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def rank_ensemble(s, d):
+    t = entity.entity_statistics(views.oof(s, d), "src_iri", label="label")
+    return entity.rank_ensemble(t, [c for c in t.columns if c.startswith("feat__")]).withColumn("score", _r(F.col("score")))
+
+
+def _learning(s, d):
+    f = ["overlap_score", "sapbert_cosine", "overlap_rank", "tfidf_rank"]
+    c = views.cands(s, d).filter("label IS NOT NULL").groupBy("src_iri", "tgt_iri").agg(F.max("label").alias("label"), *[F.max(x).alias(x) for x in f])
+    return pairs.scrub(c, f), f
+
+
+@query()
+def grouped_folds(s, d):
+    c, _ = _learning(s, d)
+    return c.withColumn("fold", learn.group_fold("src_iri", 3)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src_iri").alias("n_src"))
+
+
+@query()
+def out_of_fold_logistic(s, d):
+    c, f = _learning(s, d)
+    o = learn.out_of_fold(materialize(c.withColumn("fold", learn.group_fold("src_iri", 3)), "folds"), "logistic", f, "fold", 3)
+    return evaluation.auc_ap(o, "oof", "label").select("n", "n_pos", _r(F.col("auc"), 2).alias("auc"))
+
+
+@query()
+def gradient_trees(s, d):
+    c, f = _learning(s, d)
+    m = learn.estimator("gbt", f, maxIter=5, maxDepth=3).fit(learn.class_weight(c, "label"))
+    return learn.importances(m, f).withColumn("importance", _r(F.col("importance"), 3))
+
+
+@query()
+def mixture_split(s, d):
+    c, f = _learning(s, d)
+    g = learn.gaussian_mixture(c, ["overlap_score", "sapbert_cosine"], "label")
+    return g.groupBy((F.col("gmm") >= 0.5).alias("matched")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def base_features(s, d):
+    """The 79 columns of the pairs of neighbouring vectors' clouds, as long rows."""
+    from brindle.plans.features import base_features as build
+    from brindle.plans.registry import BASE
+
+    c = views.clouds(s, d)
+    a = c.select(F.concat(F.lit("c"), "cloud_id").alias("src_iri"), "cloud_id", F.col("cloud").alias("src_cloud"), F.element_at("cloud", 1).alias("src_vec"), F.concat(F.lit("cloud "), "cloud_id").alias("src_label"))
+    b = c.select(F.concat(F.lit("d"), "cloud_id").alias("tgt_iri"), (F.col("cloud_id") - 1).alias("cloud_id"), F.col("cloud").alias("tgt_cloud"), F.element_at("cloud", 1).alias("tgt_vec"), F.concat(F.lit("clouds "), "cloud_id").alias("tgt_label"))
+    f = build(a.join(b, "cloud_id"))
+    return f.select("src_iri", "tgt_iri", *[_r(F.col(x)).alias(x) for x in BASE])
