@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_CAMEL = re.compile(r"[A-Z](?<=[a-z0-9][A-Z])")  # led by the capital, so that the search skips to capitals
 _RUNS = re.compile(r"[a-z0-9]+")
 
 
@@ -27,7 +27,11 @@ def normal_form_py(s: str | None) -> str | None:
     """The normal form of one value; None stays None."""
     if s is None:
         return None
-    return " ".join(_RUNS.findall(_CAMEL.sub(" ", strip_accents_py(s)).lower()))
+    if not s.isascii():
+        s = strip_accents_py(s)
+    if not s.islower():
+        s = _CAMEL.sub(r" \g<0>", s).lower()
+    return " ".join(_RUNS.findall(s))
 
 
 @F.pandas_udf(StringType())
