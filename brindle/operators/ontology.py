@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.normal import normal_form
 from brindle.functions.text import iri_label, local_name, squeeze, tag_role
+from brindle.sources.materialize import materialize
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 RDFS, OWL, SKOS, OBO = "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2004/02/skos/core#", "http://www.geneontology.org/formats/oboInOwl#"
@@ -84,11 +85,13 @@ def layers(edges: DataFrame, direction: str = "up", depth: int = 4) -> DataFrame
     """(iri, node, depth): every node within `depth` steps, in its first layer only, the start left out; safe with cycles."""
     one = ("child", "parent") if direction == "up" else ("parent", "child")
     step = edges.select(F.col(one[0]).alias("x"), F.col(one[1]).alias("y")).filter("x <> y").distinct()
+    step = materialize(step, "links")
     front = step.select(F.col("x").alias("iri"), F.col("y").alias("node"))
     out = front.withColumn("depth", F.lit(1))
     for k in range(2, depth + 1):
         front = front.join(step, front.node == step.x).select("iri", F.col("y").alias("node")).filter("iri <> node").distinct()
-        front = front.join(out.select("iri", "node"), ["iri", "node"], "left_anti")
+        # written, since the next layer and all later ones read it
+        front = materialize(front.join(out.select("iri", "node"), ["iri", "node"], "left_anti"), "layer")
         out = out.unionByName(front.withColumn("depth", F.lit(k)))
     return out
 
@@ -122,7 +125,7 @@ def relations(edges: DataFrame, depth: int = 4) -> DataFrame:
         parts.append(lay.select("iri", F.lit(f"{name}s_any").alias("relation"), "node"))
     parts.append(siblings(edges).select("iri", F.lit("siblings").alias("relation"), "node"))
     parts.append(cousins(edges).select("iri", F.lit("cousins").alias("relation"), "node"))
-    base = union_all(parts)
+    base = materialize(union_all(parts), "relations")
     near = base.filter(F.col("relation").isin("ancestors_any", "descendants_any", "siblings", "cousins")).select("iri", F.lit("neighbors_any").alias("relation"), "node").distinct()
     return base.unionByName(near)
 

@@ -13,6 +13,7 @@ from brindle.functions.vector import CLASSICAL, classical_col
 from brindle.operators import ontology
 from brindle.operators.pairs import KEY, assemble, scrub
 from brindle.operators.ranking import ecdf
+from brindle.sources.materialize import materialize
 from brindle.plans.registry import BASE, DEEP, DEPTH, META, RETRIEVAL, ROLES, ROUGE, relation_names
 
 
@@ -101,11 +102,26 @@ def deep_features(pairs: DataFrame, src: DataFrame, tgt: DataFrame, rel_src: Dat
     Text features are expressions over the two profiles of a pair; support counts, which look at links between
     neighbours, are one join per kind on the neighbours and a pivot.
     """
-    take = lambda p, s: p.select(F.col("iri").alias(f"{s}_iri"), F.col("label_norm").alias(f"{s}_l"), F.col("all_labels").alias(f"{s}_all"), F.coalesce("tags", F.expr(_NONE)).alias(f"{s}_tags"), F.col("role_texts").alias(f"{s}_roles"), F.col("relation_texts").alias(f"{s}_rel"), F.col("relation_sizes").alias(f"{s}_n"))
+    names = {"all_labels": "all", "all_literals": "lit"} | {f"role_{r}": f"role_{r}" for r in ROLES} | {r: r for r in relation_names(depth)}
+
+    def take(p: DataFrame, s: str) -> DataFrame:
+        """One side's texts, each with its words, computed once and written, so that the pair plan stays small."""
+        roles = F.coalesce("role_texts", F.expr("CAST(map() AS map<string,array<string>>)"))
+        vals = {"all": F.coalesce("all_labels", F.expr(_NONE)), "lit": F.array_distinct(F.flatten(F.map_values(roles))), "concept": F.filter(F.array("label_norm"), lambda x: x != "")}
+        vals |= {f"role_{r}": _texts("role_texts", r) for r in ROLES} | {r: _texts("relation_texts", r) for r in relation_names(depth)}
+        size = lambda r: F.coalesce(F.try_element_at(F.col("relation_sizes"), F.lit(r)), F.lit(0)).cast("double")
+        base = p.select(F.col("iri").alias(f"{s}_iri"), F.col("label_norm").alias(f"{s}_l"), F.coalesce("tags", F.expr(_NONE)).alias(f"{s}_tags"), *[v.alias(f"{s}v_{k}") for k, v in vals.items()], *[size(r).alias(f"{s}n_{r}") for r in relation_names(depth)])
+        return materialize(base.withColumns({f"{s}w_{k}": T.token_set(F.col(f"{s}v_{k}")) for k in vals}), "texts")
+
     d = pairs.select(*KEY).distinct().join(take(src, "src"), "src_iri").join(take(tgt, "tgt"), "tgt_iri")
     d = d.withColumn("_ratio", gestalt_col("src_l", "tgt_l"))
-    a, b = F.col("src_l"), F.col("tgt_l")
-    wa, wb = T.words(a), T.words(b)
+    d = d.withColumns({"_wa": T.words(F.col("src_l")), "_wb": T.words(F.col("tgt_l"))})
+
+    def compare(x: str, y: str, prefix: str) -> dict[str, Column]:
+        u, v, tu, tv = (F.col(c) for c in (f"srcv_{x}", f"tgtv_{y}", f"srcw_{x}", f"tgtw_{y}"))
+        return {f"{prefix}_exact_count": F.size(F.array_intersect(u, v)).cast("double"), f"{prefix}_value_jaccard": T.jaccard(u, v), f"{prefix}_token_jaccard": T.jaccard(tu, tv), f"{prefix}_token_dice": T.dice(tu, tv), f"{prefix}_token_overlap": T.overlap(tu, tv)}
+
+    a, b, wa, wb = F.col("src_l"), F.col("tgt_l"), F.col("_wa"), F.col("_wb")
     ta, tb = F.array_distinct(wa), F.array_distinct(wb)
     one = lambda c: F.when(F.coalesce(c, F.lit(False)), 1.0).otherwise(0.0)
     f: dict[str, Column] = {
@@ -123,24 +139,19 @@ def deep_features(pairs: DataFrame, src: DataFrame, tgt: DataFrame, rel_src: Dat
         f[f"char_ngram_{n}_jaccard"] = T.jaccard(T.char_ngram_set(a, n), T.char_ngram_set(b, n))
     for n in range(1, 4):
         f[f"word_ngram_{n}_jaccard"] = T.jaccard(T.word_ngram_set(wa, n), T.word_ngram_set(wb, n))
-    all_of = lambda s: F.array_distinct(F.flatten(F.map_values(F.coalesce(f"{s}_roles", F.expr("CAST(map() AS map<string,array<string>>)")))))
-    f |= T.compare_text_sets(F.col("src_all"), F.col("tgt_all"), "all_labels") | T.compare_text_sets(all_of("src"), all_of("tgt"), "all_literals")
-    for r in ROLES:
-        f |= T.compare_text_sets(_texts("src_roles", r), _texts("tgt_roles", r), f"role_{r}")
-    size = lambda s, r: F.coalesce(F.try_element_at(F.col(f"{s}_n"), F.lit(r)), F.lit(0)).cast("double")
+    for prefix, key in names.items():
+        f |= compare(key, key, prefix)
     for r in relation_names(depth):
-        f |= {f"{r}_count_src": size("src", r), f"{r}_count_tgt": size("tgt", r), f"{r}_count_difference": F.abs(size("src", r) - size("tgt", r))}
-        f |= T.compare_text_sets(_texts("src_rel", r), _texts("tgt_rel", r), r)
+        n, m = F.col(f"srcn_{r}"), F.col(f"tgtn_{r}")
+        f |= {f"{r}_count_src": n, f"{r}_count_tgt": m, f"{r}_count_difference": F.abs(n - m)}
     for x in range(1, depth + 1):
         for y in range(1, depth + 1):
             for k in ("ancestor", "descendant"):
-                u, v = _texts("src_rel", f"{k}_d{x}"), _texts("tgt_rel", f"{k}_d{y}")
-                f[f"cross_{k}_d{x}_d{y}_token_jaccard"] = T.jaccard(T.token_set(u), T.token_set(v))
-                f[f"cross_{k}_d{x}_d{y}_exact_count"] = F.size(F.array_intersect(u, v)).cast("double")
-    la, lb = F.filter(F.array(a), lambda x: x != ""), F.filter(F.array(b), lambda x: x != "")
+                f[f"cross_{k}_d{x}_d{y}_token_jaccard"] = T.jaccard(F.col(f"srcw_{k}_d{x}"), F.col(f"tgtw_{k}_d{y}"))
+                f[f"cross_{k}_d{x}_d{y}_exact_count"] = F.size(F.array_intersect(f"srcv_{k}_d{x}", f"tgtv_{k}_d{y}")).cast("double")
     for r in ("ancestors_any", "descendants_any", "siblings", "cousins"):
-        f |= T.compare_text_sets(la, _texts("tgt_rel", r), f"src_concept_to_tgt_{r}") | T.compare_text_sets(_texts("src_rel", r), lb, f"src_{r}_to_tgt_concept")
-    wide = d.select(*KEY, *[c.alias(n) for n, c in f.items()])
+        f |= compare("concept", r, f"src_concept_to_tgt_{r}") | compare(r, "concept", f"src_{r}_to_tgt_concept")
+    wide = materialize(d.select(*KEY, *[c.alias(n) for n, c in f.items()]), "deep")
     same = ontology.support(pairs, rel_src, rel_tgt, gold).select(*KEY, F.concat(F.lit("train_support_"), "relation").alias("name"), "support")
     levels = lambda rel: rel.filter(F.col("relation").rlike("^(ancestor|descendant)_d"))
     cross = None
@@ -151,8 +162,8 @@ def deep_features(pairs: DataFrame, src: DataFrame, tgt: DataFrame, rel_src: Dat
         j = pairs.select(*KEY).distinct().join(ra.select(F.col("iri").alias("src_iri"), F.col("node").alias("a"), "da"), "src_iri").join(g, "a").join(rb.select(F.col("iri").alias("tgt_iri"), F.col("node").alias("b"), "db"), ["tgt_iri", "b"])
         j = j.groupBy(*KEY, F.concat(F.lit(f"train_support_cross_{k}_"), "da", F.lit("_"), "db").alias("name")).agg(F.count(F.lit(1)).alias("support"))
         cross = j if cross is None else cross.unionByName(j)
-    names = [n for n in DEEP if n.startswith("train_support_")]
-    supports = same.unionByName(cross).groupBy(*KEY).pivot("name", names).agg(F.max("support"))
+    supported = [n for n in DEEP if n.startswith("train_support_")]
+    supports = same.unionByName(cross).groupBy(*KEY).pivot("name", supported).agg(F.max("support"))
     out = wide.join(supports, KEY, "left")
     return out.select(*KEY, *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in DEEP])
 
