@@ -23,15 +23,18 @@ def strip_accents_py(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
-def normal_form_py(s: str | None) -> str | None:
-    """The normal form of one value; None stays None."""
-    if s is None:
-        return None
+def normal_words_py(s: str) -> list[str]:
+    """The words of the normal form of one value."""
     if not s.isascii():
         s = strip_accents_py(s)
     if not s.islower():
         s = _CAMEL.sub(r" \g<0>", s).lower()
-    return " ".join(_RUNS.findall(s))
+    return _RUNS.findall(s)
+
+
+def normal_form_py(s: str | None) -> str | None:
+    """The normal form of one value; None stays None."""
+    return None if s is None else " ".join(normal_words_py(s))
 
 
 @F.pandas_udf(StringType())
