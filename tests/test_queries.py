@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from brindle.plans import queries as core
 
 
 def plain(df):
@@ -21,12 +22,12 @@ def duck(data):
     return c
 
 
-SQL = entry.oracle_sql()
+QUERIES, SQL = core.queries(), core.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, data, name):
-    got = entry.queries()[name](spark, data).toPandas()
+    got = QUERIES[name](spark, data).toPandas()
     if name in SQL:
         want = duck.execute(SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
@@ -34,4 +35,5 @@ def test_query(spark, duck, data, name):
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     assert entry.entry(spark).columns == ["src_iri", "tgt_iri", "score"]
