@@ -1,7 +1,8 @@
 """Packing, mixing, reading levels and entity matching: their guarantees and edge cases."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -173,6 +174,48 @@ def test_match_finds_the_same_classes(spark):
     assert hits / len(truth) > 0.9 and hits / len(got) > 0.9
 
 
+def matched(spark, rows):
+    df = spark.createDataFrame(rows, "iri string, side int, t array<string>")
+    return {tuple(sorted((r["a"], r["b"]))) for r in entity_match.match(entity_match.entities(df, "iri", F.col("side"), F.col("t"))).filter("posterior >= 0.5 AND sa <> sb").collect()}
+
+
+def test_match_of_short_and_numbered_words(spark):
+    """Classes named by short words or codes only."""
+    rows, truth = profile_rows()
+    tail = ["left", "right", "chronic", "acute"]
+    rows = [(i, s, [x for x in [a, *b] if x]) for i, s, a, b in rows]
+    for k in range(40):
+        name, mod = (f"q{chr(97 + k % 26)}{k}", f"z{chr(97 + k % 26)}{chr(97 + k // 26)}")[k % 2], tail[k % 4]
+        for side in (0, 1):
+            rows.append((f"{'st'[side]}c{k}", side, [f"{name} {mod} ulcer", f"ulcer {mod} of {name}", f"{name} ulceration, {mod}"]))
+        truth.add((f"sc{k}", f"tc{k}"))
+    got = matched(spark, rows)
+    codes = {p for p in truth if p[0].startswith("sc")}
+    assert codes <= got and len(got & truth) / len(got) > 0.9
+
+
+def test_match_of_a_class_with_very_many_identifiers(spark, monkeypatch):
+    """Its name is as frequent as an everyday word, and parts of a key are compared with each other."""
+    monkeypatch.setattr(entity_match, "PART", 25, raising=False)
+    rows, truth = profile_rows()
+    rows = [(i, s, [x for x in [a, *b] if x]) for i, s, a, b in rows]
+    for k in range(40):
+        for side in (0, 1):
+            rows.append((f"{'st'[side]}m{k:02d}", side, ["morgelune ulcer of skin left", "left cutaneous morgelune ulcer", "morgelune ulceration skin sinistral", f"mrogel{'abcdefghij'[k % 10]}{'klmno'[k // 10]}{'uv'[side]} ulcer"][: 3 + k % 2]))
+    many = {(f"sm{a:02d}", f"tm{b:02d}") for a in range(40) for b in range(40)}
+    got = matched(spark, rows)
+    assert many <= got and len(got & (truth | many)) / len(got) > 0.9 and len(got & truth) / len(truth) > 0.9
+
+
+def test_plain_keys_meet():
+    """Every two sets with more than half of their union in common share a key, and the first common pair is one of both."""
+    v = entity_match.Vocabulary({w: k for k, w in enumerate("abcdefg")}, Counter())
+    sets = [frozenset(c) for n in range(1, 6) for c in combinations("abcdefg", n)]
+    for x, y in combinations(sets, 2):
+        if 2 * len(x & y) > len(x | y):
+            assert " ".join(v.ordered(x & y)[:2]) in set(v.keys(dict.fromkeys(x, 1.0))) & set(v.keys(dict.fromkeys(y, 1.0)))
+
+
 def test_match_edges(spark):
     schema = "iri string, side int, t array<string>"
     empty = entity_match.entities(spark.createDataFrame([], schema), "iri", F.col("side"), F.col("t"))
