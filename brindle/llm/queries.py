@@ -107,25 +107,34 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rows_to_split(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of both tables; a row without a source also with its whole content, which tells it from others."""
     none = F.lit(None).cast("int")
-    t = table(spark, d, "train").select(canonical_iri(F.col("srcentity")).alias("src_iri"), F.col("fold").cast("int").alias("fold"), F.lit(1).alias("from_train"), none.alias("label"))
-    o = table(spark, d, "oof_scores").select(canonical_iri(F.col("src_iri")).alias("src_iri"), F.col("fold").cast("int").alias("fold"), F.lit(0).alias("from_train"), F.col("label").cast("int").alias("label"))
-    return t.unionByName(o)
+
+    def part(name: str, source: str, from_train: int, label) -> DataFrame:
+        src = canonical_iri(F.col(source))
+        return table(spark, d, name).select(src.alias("src_iri"), F.col("fold").cast("int").alias("fold"), F.lit(from_train).alias("from_train"), label.alias("label"), F.when(src.isNull(), F.to_json(F.struct("*"))).alias("content"))
+
+    return part("train", "srcentity", 1, none).unionByName(part("oof_scores", "src_iri", 0, F.col("label").cast("int")))
 
 
 def _splits(spark: SparkSession, d: str) -> DataFrame:
     labels = {"n_train": F.col("from_train") == 1, "n_positive": F.col("label") == 1, "n_negative": F.col("label") == 0}
-    return splits.grouped_splits(_rows_to_split(spark, d), ["src_iri"], labels, table(spark, d, "split_targets"), audit="fold").withColumnRenamed("component", "src_iri")
+    s = splits.grouped_splits(_rows_to_split(spark, d), ["src_iri"], labels, table(spark, d, "split_targets"), audit="fold", alone=True)
+    own = lambda is_alone: F.when(F.col("alone") == is_alone, F.col("component"))
+    return s.select(own(False).alias("src_iri"), own(True).alias("row_key"), *[c for c in s.columns if c not in ("component", "alone")])
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Every source entity with its split, its rows by label and the number of folds it has now."""
+    """Every source entity with its split, its rows by label and the number of folds it has now.
+
+    A row without a source entity comes by itself, with a key made of its content and occurrence.
+    """
     return _splits(spark, d)
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     """What each split holds, beside its target."""
-    s = _splits(spark, d).groupBy("split").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_train", "n_positive", "n_negative")], F.count(F.lit(1)).alias("n_entities"))
+    s = _splits(spark, d).groupBy("split").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_train", "n_positive", "n_negative")], F.count("src_iri").alias("n_entities"))
     t = table(spark, d, "split_targets").select(F.col("split_name").alias("split"), "target_share")
     from pyspark.sql import Window
 

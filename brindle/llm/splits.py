@@ -23,6 +23,8 @@ from brindle.llm.components import components
 from brindle.sources.materialize import write_table
 
 BLOCK = 20_000
+#: Equal rows without a key are numbered in runs of this length.
+RUN = 10_000
 #: A component with more than 1/LARGE of all records is placed on the driver; there are at most LARGE.
 LARGE = 1000
 
@@ -77,11 +79,22 @@ def _link(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     return records.withColumn("_first", first).join(groups, "_first", "left").drop("_first")
 
 
-def grouped_splits(records: DataFrame, keys: Sequence[str], labels: dict[str, Column], targets: DataFrame, name: str = "split_name", share: str = "target_share", audit: str | None = None, block: int = BLOCK) -> DataFrame:
-    """(component, split, n_rows, one count per label[, n_AUDIT]): every component with the split it is put in.
+def _singled(comps: DataFrame, counts: Sequence[str]) -> DataFrame:
+    """`comps` with those marked `alone`, which count equal rows, listed row by row; the occurrence, from 0, is added to their names."""
+    n = F.when(F.col("alone"), F.col("n_rows")).otherwise(1)
+    runs = comps.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / RUN)))).withColumn("_from", F.col("_run") * RUN)
+    listed = runs.withColumn("_at", F.explode(F.sequence("_from", F.least(n, F.col("_from") + RUN) - 1)))
+    single = {c: F.when(F.col("alone"), F.col(c) / F.col("n_rows")).otherwise(F.col(c)).cast("bigint") for c in counts}
+    named = F.when(F.col("alone"), F.concat("component", F.lit("-"), F.col("_at").cast("string"))).otherwise(F.col("component"))
+    return listed.withColumns(single | {"component": named}).drop("_run", "_from", "_at")
+
+
+def grouped_splits(records: DataFrame, keys: Sequence[str], labels: dict[str, Column], targets: DataFrame, name: str = "split_name", share: str = "target_share", audit: str | None = None, block: int = BLOCK, alone: bool = False) -> DataFrame:
+    """(component, split, n_rows, one count per label[, n_AUDIT][, alone]): every component with the split it is put in.
 
     `labels` are conditions over a record. Records of which all keys are null have no component and are
-    left out; null label conditions count as false. Targets with null or no positive share get nothing;
+    left out, or with `alone` each is a component of its own, marked in that column and stratified with the rest;
+    null label conditions count as false. Targets with null or no positive share get nothing;
     shares are scaled to sum 1. n_AUDIT is the number of distinct non-null values of the column `audit`
     within the component. Empty records give an empty table; without a usable target the split is null.
     """
@@ -89,10 +102,14 @@ def grouped_splits(records: DataFrame, keys: Sequence[str], labels: dict[str, Co
     names, shares = [g[0] for g in given], np.array([g[1] for g in given])
     shares = shares / shares.sum() if len(shares) else shares
     labs = list(labels)
-    rows = _link(records, keys).filter(F.col("component").isNotNull())
+    rows = _link(records, keys)
+    if alone:  # equal rows are counted under the hash of their columns first, so no task holds all of them
+        rows = rows.withColumn("alone", F.col("component").isNull()).withColumn("component", F.coalesce("component", F.md5(F.to_json(F.struct(*records.columns)))))
+    rows = rows.filter(F.col("component").isNotNull())
     aggs = [F.sum(F.when(cond, 1).otherwise(0)).cast("bigint").alias(k) for k, cond in labels.items()]
     extra = [] if audit is None else [F.size(F.collect_set(audit)).alias(f"n_{audit}")]
-    comps = write_table(rows.groupBy("component").agg(*aggs, F.count(F.lit(1)).alias("n_rows"), *extra), "split-components").df
+    comps = rows.groupBy("component", *["alone"] * alone).agg(*aggs, F.count(F.lit(1)).alias("n_rows"), *extra)
+    comps = write_table(_singled(comps, [*labs, "n_rows"]) if alone else comps, "split-components").df
     width = [*labs, "n_rows"]
     sums = comps.agg(*[F.sum(c) for c in width], F.count(F.lit(1))).first()
     if not names:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from brindle.llm import distinct_terms, median_rank, set_join, splits, top_n
 from brindle.llm.common import canonical_iri
 from brindle.llm.components import components
+from brindle.llm.queries import queries
 from brindle.llm.tokens import PATTERN, token_count
 
 
@@ -250,6 +251,27 @@ def test_splits_join_several_keys(spark):
     assert sorted(r["n_rows"] for r in out) == [2, 3]
 
 
+@pytest.mark.parametrize("run", [7, 10_000])
+def test_splits_hold_rows_without_a_key(spark, monkeypatch, run):
+    """A third of the rows has no key; equal ones count too, and are spread over the splits."""
+    monkeypatch.setattr(splits, "RUN", run, raising=False)
+    data = [(f"e{k % 1000}", k % 4 == 0, k) for k in range(2000)] + [(None, k % 2 == 0, k) for k in range(400)] + [(None, True, None)] * 600
+    df = spark.createDataFrame(data, "k string, pos boolean, x int")
+    out = splits.grouped_splits(df, ["k"], {"n_pos": F.col("pos")}, targets(spark), alone=True).collect()
+    assert sum(r["n_rows"] for r in out) == 3000 and sum(r["n_pos"] for r in out) == 500 + 200 + 600
+    assert sum(r["alone"] for r in out) == 1000 and len({(r["component"], r["alone"]) for r in out}) == len(out) == 2000
+    for name, share in (("train", 0.7), ("valid", 0.1), ("test", 0.2)):
+        for c, n in (("n_rows", 3000), ("n_pos", 1300)):
+            assert sum(r[c] for r in out if r["split"] == name) / n == pytest.approx(share, abs=0.02)
+
+
+def test_split_queries_hold_all_rows(spark, data):  # the smallest tables have no row without a source
+    data = data.replace("sf0.001", "sf0.01")
+    n = sum(spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("train", "oof_scores"))
+    for q in ("p4_splits", "p4_shares"):
+        assert sum(r["n_rows"] for r in queries()[q](spark, data).collect()) == n
+
+
 def test_splits_edges(spark):
     none = spark.createDataFrame([], "k string")
     assert splits.grouped_splits(none, ["k"], {}, targets(spark)).count() == 0
