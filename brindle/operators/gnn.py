@@ -3,7 +3,7 @@
 A layer joins edges with the projected vectors of their ends; the softmax over a receiver's edges is a
 pre-aggregated maximum and two sums, so hub nodes are combined before they are shuffled. Matrix products run in
 numpy batches with broadcast weights, whose size depends on the dimension only. Training uses sampled pairs of
-bounded number on the driver; encoding covers every node.
+bounded number on the driver and fits the gate only; the other weights stay as given. Encoding covers every node.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -20,6 +20,8 @@ from brindle.functions.vector import dot
 
 #: Training pairs, the first by hash; a documented bound.
 MOST_PAIRS = 20_000
+#: Hash buckets in which targets are numbered.
+BUCKETS = 4096
 
 
 @dataclass
@@ -85,12 +87,20 @@ def gated_fusion(structure: DataFrame, text: DataFrame, w: GraphWeights) -> Data
 
 
 def training_pairs(gold: DataFrame, targets: DataFrame, negatives: int = 10, seed: int = 2026) -> DataFrame:
-    """(src_iri, tgt_iri, label): known pairs and, for each, `negatives` other targets, drawn by hash without the source's own."""
-    n = targets.count()
-    t = targets.select(F.col("iri").alias("t")).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "t"), F.lit(max(n, 1))))
+    """(src_iri, tgt_iri, label): known pairs and, for each, `negatives` other targets, drawn by hash; repeated draws and the source's own are dropped.
+
+    Targets are numbered densely, by bucket of a hash and within it, so every draw hits and every target can be drawn.
+    """
+    t = targets.select(F.col("iri").alias("t")).filter("t IS NOT NULL").distinct().withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "t"), F.lit(BUCKETS)))
+    sizes = {r["bucket"]: r["n"] for r in t.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n, starts = 0, []
+    for b in sorted(sizes):
+        starts.append((b, n))
+        n += sizes[b]
+    first = targets.sparkSession.createDataFrame(starts, "bucket bigint, first bigint")
+    one = t.join(F.broadcast(first), "bucket").select("t", (F.col("first") + F.row_number().over(Window.partitionBy("bucket").orderBy("t")) - 1).alias("slot"))
     pos = gold.select("src_iri", "tgt_iri").distinct()
     draws = pos.select("src_iri", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("k"), "tgt_iri").withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "src_iri", "tgt_iri", "k"), F.lit(max(n, 1))))
-    one = t.groupBy("slot").agg(F.min("t").alias("t"))
     neg = draws.join(one, "slot").select("src_iri", F.col("t").alias("tgt_iri")).distinct().join(pos, ["src_iri", "tgt_iri"], "left_anti")
     return pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
 
