@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from brindle.llm.oracle import oracle_sql
@@ -11,9 +12,13 @@ from brindle.llm.queries import queries
 QUERIES, SQL = queries(), oracle_sql()
 
 
+def is_null(x):
+    return pd.api.types.is_scalar(x) and pd.isna(x)
+
+
 def plain(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("N" if x is None or x != x else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in df.astype(object).itertuples(index=False))
+    return sorted(tuple("N" if is_null(x) else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in df.astype(object).itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
