@@ -1,8 +1,10 @@
 """Joins that stay balanced when one key holds a large share of all rows.
 
-A key with more than 1/SHARE of all rows is hot; there can be at most SHARE of them, so the list of
-hot keys has a proven bound and may be sent to every task. Rows of a hot key are spread over as many
-salts as it has shares; the other side repeats its (few) rows of that key once for each salt.
+A key is hot with more than 1/SHARE of all rows, or with more than CEILING rows however large the table is.
+There can be at most max(SHARE, rows / CEILING) hot keys, so the list of hot keys stays a few megabytes up to
+10^12 rows and may be sent to every task, and no task holds more than about CEILING rows of one key. Rows of a
+hot key are spread over as many salts as it has shares; the other side repeats its (few) rows of that key
+once for each salt.
 """
 
 from __future__ import annotations
@@ -13,17 +15,24 @@ from pyspark.sql import functions as F
 SHARE = 1000
 #: Keys with fewer rows than this are never worth splitting.
 LEAST_ROWS = 20_000
+#: No key with more rows than this stays in one task.
+CEILING = 2_000_000
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", share: int = SHARE, least: int = LEAST_ROWS, total: int | None = None) -> DataFrame:
-    """Of per-key row counts, the hot keys with the number of salts each gets: at most `share` rows.
+def hot_limit(total: int, share: int = SHARE, least: int = LEAST_ROWS, ceiling: int = CEILING) -> int:
+    """The most rows a key may have without being hot, of a table of `total` rows."""
+    return int(min(max(total / share, least), max(ceiling, 1)))
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n", share: int = SHARE, least: int = LEAST_ROWS, total: int | None = None, ceiling: int = CEILING) -> DataFrame:
+    """Of per-key row counts, the hot keys with the number of salts each gets: at most max(share, total / ceiling) rows.
 
     Null keys are never hot. An empty input gives an empty table. `total`, the sum of the counts, saves
     a job where it is known.
     """
     spark = counts.sparkSession
     total = (counts.agg(F.sum(n)).first()[0] or 0) if total is None else total
-    limit = max(total / share, least)
+    limit = hot_limit(total, share, least, ceiling)
     rows = [] if total <= limit else counts.filter((F.col(n) > limit) & F.col(key).isNotNull()).select(key, F.ceil(F.col(n) / limit).cast("int").alias("salts")).collect()
     schema = f"`{key}` {dict(counts.dtypes)[key]}, salts int"
     return spark.createDataFrame([(r[0], r[1]) for r in rows], schema)
