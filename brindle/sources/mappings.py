@@ -6,7 +6,6 @@ import glob
 import io
 import json
 import os
-import tempfile
 import zipfile
 from collections.abc import Sequence
 
@@ -112,13 +111,28 @@ def deep_features(df: DataFrame, pairs: DataFrame, boundary: str = "label", left
 
 
 def read_zip_csv(spark: SparkSession, path: str, member: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A CSV member of a ZIP as strings: extracted once below the shared folder and read as an ordinary, splittable, pruned CSV scan."""
-    from brindle.sources.materialize import shared_dir
-
-    folder = tempfile.mkdtemp(prefix="zip-", dir=shared_dir(spark).removeprefix("file://"))
-    with zipfile.ZipFile(path) as z:
-        z.extract(member, folder)
-    df = spark.read.csv("file://" + os.path.join(folder, member), header=True)
+    """A CSV member of a ZIP as strings: copied once, as a stream, into the shared folder and read as an ordinary,
+    splittable, pruned CSV scan. The ZIP and the folder may be on any file system Spark knows. A member that
+    isn't there raises KeyError."""
+    from brindle.sources.materialize import scratch
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(path)
+    packed = jvm.java.util.zip.ZipInputStream(source.getFileSystem(conf).open(source))
+    try:
+        entry = packed.getNextEntry()
+        while entry is not None and entry.getName() != member:
+            entry = packed.getNextEntry()
+        if entry is None:
+            raise KeyError(f"no {member} in {path}")
+        url = f"{scratch(spark, 'zip')}/{os.path.basename(member)}"
+        target = jvm.org.apache.hadoop.fs.Path(url)
+        out = target.getFileSystem(conf).create(target)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(packed, out, conf, False)
+        out.close()
+    finally:
+        packed.close()
+    df = spark.read.csv(url, header=True)
     return df.select(*columns) if columns else df
 
 

@@ -8,6 +8,7 @@ executor costs a re-read and never a recomputation of earlier rounds.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,15 @@ _ROOTS: dict[int, tuple[str, object]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set (tests, local runs)."""
+    """The shared folder named by the session. Where none is set a temporary one is made if all tasks run in this
+    process (master local or local[...]); on a cluster, whose machines would not see it, that is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         set_dir = got.get() if got.isDefined() else None
     if not set_dir:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
@@ -43,6 +47,11 @@ def _root(spark: SparkSession) -> str:
     return _ROOTS[key][0]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder, deleted with everything else written here when the process ends."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def remove(spark: SparkSession, url: str) -> None:
     """Delete a folder written here; a session that is already gone is no error."""
     try:
@@ -65,7 +74,7 @@ class Written:
 def write_table(df: DataFrame, name: str = "t") -> Written:
     """Write `df` into the shared folder and return a handle that reads it."""
     spark = df.sparkSession
-    url = f"{_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    url = scratch(spark, name)
     df.write.parquet(url)
     return Written(spark, url, spark.read.schema(df.schema).parquet(url))
 
