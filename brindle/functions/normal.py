@@ -13,7 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 _CAMEL = re.compile(r"[A-Z](?<=[a-z0-9][A-Z])")  # led by the capital, so that the search skips to capitals
 _RUNS = re.compile(r"[a-z0-9]+")
@@ -56,21 +56,43 @@ def strip_accents(c: Column) -> Column:
     return F.when(_is_ascii(c), c).otherwise(_strip_udf(F.when(_is_ascii(c), F.lit(None).cast("string")).otherwise(c)))
 
 
+def form_ascii(c: Column) -> Column:
+    """The normal form of an ASCII value. Values that are in it already, as most are, skip the replacements."""
+    spaced = F.when(c.rlike("[a-z0-9][A-Z]"), F.regexp_replace(c, r"(?<=[a-z0-9])(?=[A-Z])", " ")).otherwise(c)
+    return F.when(c.rlike(r"^[a-z0-9]+(?: [a-z0-9]+)*\z"), c).otherwise(F.trim(F.regexp_replace(F.lower(spaced), r"[^a-z0-9]+", " ")))
+
+
 def words_ascii(c: Column) -> Column:
     """The words of an ASCII value's normal form, in order."""
-    spaced = F.regexp_replace(c, r"(?<=[a-z0-9])(?=[A-Z])", " ")
-    return F.filter(F.split(F.lower(spaced), r"[^a-z0-9]+"), lambda w: w != "")
+    return _split(form_ascii(c))
+
+
+def _split(form: Column) -> Column:
+    return F.when(form == "", F.expr("CAST(array() AS array<string>)")).otherwise(F.split(form, " "))
 
 
 def normal_words(c: Column) -> Column:
     """Words of the camel-aware normal form as an array; null for null."""
-    other = _normal_udf(F.when(_is_ascii(c), F.lit(None).cast("string")).otherwise(c))
-    return F.when(c.isNull(), F.lit(None).cast("array<string>")).when(_is_ascii(c), words_ascii(c)).otherwise(F.filter(F.split(other, " "), lambda w: w != ""))
+    return _split(normal_form(c))
 
 
 def normal_form(c: Column) -> Column:
     """The camel-aware normal form; null for null, '' where nothing is left."""
-    return F.array_join(normal_words(c), " ")
+    other = _normal_udf(F.when(_is_ascii(c), F.lit(None).cast("string")).otherwise(c))
+    return F.when(c.isNull(), F.lit(None).cast("string")).when(_is_ascii(c), form_ascii(c)).otherwise(other)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _normal_arrays_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else [normal_form_py(v) for v in x])
+
+
+def normal_forms(c: Column) -> Column:
+    """The normal form of every element of an array; null elements and null arrays stay null. Arrays of ASCII
+    values stay in JVM expressions."""
+    ascii_ = _is_ascii(F.array_join(c, " "))
+    other = _normal_arrays_udf(F.when(~ascii_, c))
+    return F.when(ascii_, F.transform(c, form_ascii)).otherwise(other)
 
 
 def normalize_text(c: Column) -> Column:
