@@ -207,6 +207,24 @@ def test_match_of_a_class_with_very_many_identifiers(spark, monkeypatch):
     assert many <= got and len(got & (truth | many)) / len(got) > 0.9 and len(got & truth) / len(truth) > 0.9
 
 
+def test_match_under_crowded_words(spark, monkeypatch):
+    """A rare word of more entities than are compared with each other only brings together those of like meanings; nothing else is lost."""
+    rows, truth = profile_rows()
+    rows = [(i, s, [x for x in [a, *b] if x]) for i, s, a, b in rows]
+    every = matched(spark, rows)
+    monkeypatch.setattr(entity_match, "CEILING", 3)
+    monkeypatch.setattr(entity_match, "PART", 2)
+    got = matched(spark, rows)
+    assert len(got & truth) / len(truth) > 0.9 and len(got & truth) / len(got) > 0.9 and len(got ^ every) <= 0.02 * len(every)
+
+
+def test_posterior_as_expression(spark):
+    m = entity_match.Mixture(0.3, np.array([[0.2, 0.1, 0.0], [0.9, 0.8, 0.7]]), np.array([np.eye(3) * 0.05, np.eye(3) * 0.02 + 0.005]))
+    x = np.random.default_rng(1).random((50, 3))
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "k int, x0 double, x1 double, x2 double")
+    assert np.allclose([r[0] for r in df.orderBy("k").select(m.column()).collect()], m.posterior(x))
+
+
 def test_plain_keys_meet():
     """Every two sets with more than half of their union in common share a key, and the first common pair is one of both."""
     v = entity_match.Vocabulary({w: k for k, w in enumerate("abcdefg")}, Counter())
