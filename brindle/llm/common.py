@@ -35,4 +35,4 @@ def clean_score(c: Column) -> Column:
 
 def blank(c: Column) -> Column:
     """Null, empty or white space only."""
-    return c.isNull() | (F.trim(F.regexp_replace(c, r"\s+", " ")) == "")
+    return c.isNull() | ~c.rlike(r"\S")

@@ -4,7 +4,7 @@ The collection is a bag of N term occurrences, K of them the term; a record is a
 the term. The score is -ln of the exact upper tail P(X >= k), adjusted for false discoveries over all
 (record, term) tests. The tail depends on (k, n, K) only; those combinations are few (there are at
 most sqrt(2 N) different K), so tails and the adjustment are computed on the combinations and joined
-back, and no test is ever ranked by itself.
+back, and no test is ever ranked by itself. The adjustment cumulates over range partitions.
 """
 
 from __future__ import annotations
@@ -14,12 +14,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.running import running
 from brindle.operators.skew import hot_keys, salted_join
 from brindle.sources.materialize import write_table
 
+#: Combinations in one range partition of the adjustment.
+PART = 50_000
+#: Up to so many combinations (some 20 MB) are sent to every task; more are joined by key.
+FEW_COMBOS = 500_000
+
 
 def lgamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma for positive arguments: the Stirling series, after shifting small arguments up."""
@@ -59,21 +65,37 @@ def upper_tail(k: np.ndarray, n: np.ndarray, big_k: np.ndarray, big_n: float) ->
     return np.minimum(np.where(k <= np.maximum(0, n - (big_n - big_k)), 0.0, total), 0.0)
 
 
-def term_scores(records: DataFrame, record: str, terms: str) -> DataFrame:
-    """(record, term, k, n, df, total, ln_p, score, q): one row for each term of each record.
+def adjusted(combos: DataFrame, tests: int, parts: int) -> DataFrame:
+    """`combos` (k, n, total, m, ln_p), m tests each, with the Benjamini-Hochberg adjusted probability q of each.
+
+    A combination of no test gets the q that a test of its probability would have. Both cumulations run over
+    range partitions; of equal probabilities the last in the order has the right rank and the others its q.
+    """
+    order = ["ln_p", "k", "n", "total"]
+    up = running(combos, [F.asc(c) for c in order], sums={"upto": F.col("m")}, parts=parts)
+    raw = F.when(F.col("upto") > 0, F.col("ln_p") + math.log(max(tests, 1)) - F.log("upto"))
+    down = running(up.withColumn("raw", raw), [F.desc(c) for c in order], mins={"low": F.col("raw")}, parts=parts)
+    return down.select(*order, F.least(F.lit(1.0), F.exp("low")).alias("q"))
+
+
+def term_scores(records: DataFrame, record: str, terms: str, max_df: int | None = None) -> DataFrame:
+    """(record, term, k, n, df, total, ln_p, score, q[, q_limit]): one row for each term of each record.
 
     `terms` is an array of terms with repetitions; a record given in several rows has them all. k is the
     term's count in the record, n the record's length, df the number of records with the term, total its
     count in the collection, score = -ln_p, q the Benjamini-Hochberg adjusted probability. Null records,
     null arrays, null terms and empty terms count for nothing; an empty table gives an empty one; other
     columns are ignored.
+
+    With `max_df` q_limit is the largest q that a term of at most so many records can have there: its total
+    is at most max_df times the most a record has of a term, the tail grows with the total, and q with the tail.
     """
     words = records.filter(F.col(record).isNotNull()).select(F.col(record).alias("r"), F.explode(F.col(terms)).alias("t")).filter("t IS NOT NULL AND t <> ''")
     counts = write_table(words.groupBy("r", "t").agg(F.count(F.lit(1)).alias("k")), "term-counts").df
     lengths = counts.groupBy("r").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("c"))
     per_term = counts.groupBy("t").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("df"))
-    size = counts.agg(F.sum("k"), F.count(F.lit(1))).first()
-    big_n, tests = float(size[0] or 0), int(size[1])
+    size = counts.agg(F.sum("k"), F.count(F.lit(1)), F.max("k")).first()
+    big_n, tests, most = float(size[0] or 0), int(size[1]), int(size[2] or 0)
     rows = salted_join(counts, per_term, "t", hot_keys(per_term, "t", n="df", total=tests), F.col("r"))
     rows = salted_join(rows, lengths.select("r", "n"), "r", hot_keys(lengths, "r", n="c", total=tests), F.col("t"))
     rows = write_table(rows, "term-tests").df
@@ -83,24 +105,35 @@ def term_scores(records: DataFrame, record: str, terms: str) -> DataFrame:
             yield b.assign(ln_p=upper_tail(b.k.to_numpy(), b.n.to_numpy(), b.total.to_numpy(), big_n))
 
     combos = rows.groupBy("k", "n", "total").agg(F.count(F.lit(1)).alias("m"))
-    combos = combos.mapInPandas(tails, "k bigint, n bigint, total bigint, m bigint, ln_p double")
-    # one row per combination, of which there are few (see above): a single ordered pass is bounded
-    up = Window.orderBy("ln_p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    raw = combos.withColumn("raw", F.col("ln_p") + math.log(max(tests, 1)) - F.log(F.sum("m").over(up)))
-    down = Window.orderBy(F.desc("ln_p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    adjusted = raw.withColumn("q", F.least(F.lit(1.0), F.exp(F.min("raw").over(down)))).select("k", "n", "total", "ln_p", "q")
-    joined = rows.join(F.broadcast(adjusted), ["k", "n", "total"]) if tests < 50_000_000 else rows.join(adjusted, ["k", "n", "total"])
-    return joined.select(F.col("r").alias(record), F.col("t").alias("term"), "k", "n", "df", "total", "ln_p", (-F.col("ln_p")).alias("score"), "q")
+    if max_df is not None:
+        bound = min(max_df * most, int(big_n))
+        combos = combos.unionByName(combos.select("k", "n", F.lit(bound).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("m")).distinct()).groupBy("k", "n", "total").agg(F.sum("m").alias("m"))
+    combos = write_table(combos.mapInPandas(tails, "k bigint, n bigint, total bigint, m bigint, ln_p double"), "term-combos").df
+    n_combos = combos.count()
+    scored = adjusted(combos, tests, max(1, -(-n_combos // PART)))
+    if max_df is not None:
+        limits = scored.filter(F.col("total") == bound).select("k", "n", F.col("q").alias("q_limit"))
+        scored = scored.join(limits, ["k", "n"])
+    if n_combos <= FEW_COMBOS:
+        joined = rows.join(F.broadcast(scored), ["k", "n", "total"])
+    else:  # many: the commonest combinations are hot keys
+        key = F.concat_ws(" ", "k", "n", "total").alias("c")
+        sizes = combos.select(key, F.col("m").alias("n"))
+        joined = salted_join(rows.withColumn("c", key), scored.select(key, *[x for x in scored.columns if x not in ("k", "n", "total")]), "c", hot_keys(sizes, "c", total=tests), F.col("r"))
+    extra = [] if max_df is None else ["q_limit"]
+    return joined.select(F.col("r").alias(record), F.col("t").alias("term"), "k", "n", "df", "total", "ln_p", (-F.col("ln_p")).alias("score"), "q", *extra)
 
 
 def telling_pairs(scores: DataFrame, record: str, max_df: int, pairs: DataFrame, left: str, right: str, left_text: Column, right_text: Column, words: Callable[[Column], Column]) -> DataFrame:
     """(left, right, term, score_left, score_right, df): pairs of records that share a term of at most `max_df` records.
 
-    Pairs come from the term's own short record list (at most max_df^2 a term), never from a term that
-    many records have; they must then occur in a row of `pairs` in which both texts hold the term among
-    their `words`. Rows with a null in either text or identifier give no pair.
+    `scores` are of term_scores with the same `max_df`: terms are chosen by their adjusted score, which no term of so
+    few records can miss, and the number of their records is checked. Pairs come from the term's own short
+    record list (at most max_df^2 a term), never from a term that many records have; they must then occur
+    in a row of `pairs` in which both texts hold the term among their `words`. Rows with a null in either
+    text or identifier give no pair.
     """
-    rare = scores.filter(F.col("df") <= max_df)
+    rare = scores.filter((F.col("q") <= F.col("q_limit")) & (F.col("df") <= max_df))
     a = rare.select(F.col(record).alias("a"), "term", F.col("score").alias("score_left"), "df")
     b = rare.select(F.col(record).alias("b"), "term", F.col("score").alias("score_right"))
     both = a.join(b, "term").filter("a <> b")

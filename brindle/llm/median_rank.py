@@ -29,7 +29,7 @@ def _ranks_by_window(rows: DataFrame, scores: Sequence[str]) -> DataFrame:
     out = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g")))
     for s in scores:
         w = Window.partitionBy("g").orderBy(F.col(s).desc_nulls_last())
-        out = out.withColumn(f"rank_{s}", F.rank().over(w).cast("bigint")).withColumn(f"upto_{s}", F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        out = out.withColumn(f"rank_{s}", F.rank().over(w).cast("bigint"))
     return out
 
 
@@ -53,7 +53,6 @@ def _ranks_by_cuts(rows: DataFrame, scores: Sequence[str], counts: DataFrame) ->
         out = out.join(F.broadcast(sizes), ["g", "b"])
         w = Window.partitionBy("g", "b", "spread").orderBy(v.desc_nulls_last())
         out = out.withColumn(f"rank_{s}", F.col("before") + F.when(F.col("flat"), F.lit(1)).otherwise(F.rank().over(w)))
-        out = out.withColumn(f"upto_{s}", F.col("before") + F.when(F.col("flat"), F.col("in_b")).otherwise(F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))))
         out = out.drop("b", "flat", "spread", "in_b", "before", f"cuts_{s}")
     return out
 
@@ -78,8 +77,8 @@ def _place_hot(rows: DataFrame) -> DataFrame:
 
 
 def rank_items(rows: DataFrame, group: str, item: str, scores: Sequence[str], weights: Sequence[float] | None = None, hot_from: int = LEAST_ROWS) -> DataFrame:
-    """Per (group, item): the scores, n (items in the group), rank_S (1 + items strictly above), upto_S
-    (items at or above), median_rank, mean_rank and place (1..n, unique).
+    """Per (group, item): the scores, n (items in the group), rank_S (1 + items strictly above), median_rank,
+    mean_rank and place (1..n, unique).
 
     An item given several times counts once, with the highest of each score. A null or NaN score ranks
     below every given one and ties with the other missing ones. Rows with a null group or item take no
@@ -107,9 +106,9 @@ def rank_items(rows: DataFrame, group: str, item: str, scores: Sequence[str], we
             ranked = _place_hot(ranked)
         else:
             ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("median_rank", "mean_rank", "i")).cast("bigint"))
-        out.append(ranked.select("g", "i", *scores, "n", *[f"rank_{s}" for s in scores], *[f"upto_{s}" for s in scores], "median_rank", "mean_rank", "place"))
+        out.append(ranked.select("g", "i", *scores, "n", *[f"rank_{s}" for s in scores], "median_rank", "mean_rank", "place"))
     both = out[0] if len(out) == 1 else out[0].unionByName(out[1])
-    back = {"g": group, "i": item} | names | {f"{what}_{k}": f"{what}_{s}" for k, s in names.items() for what in ("rank", "upto")}
+    back = {"g": group, "i": item} | names | {f"rank_{k}": f"rank_{s}" for k, s in names.items()}
     return both.withColumnsRenamed(back)
 
 
@@ -123,17 +122,20 @@ def majority_winners(ranked: DataFrame, group: str, item: str, scores: Sequence[
     """(group, item): of rank_items' output, the item strictly above each other item of its group on more
     than half of the scores, where there is one, in groups of at least `least_items` items.
 
-    The ranks rule items out first: items at or above a winner on half of the scores or more can't
-    exist, so with three scores the sets of items at or above it are disjoint and its `upto` sum is
-    bounded by the group's size. What is left plays knock-out in chunks of CHUNK rows (a winner survives
-    any order of play), and the survivor is checked against every row of its group.
+    The (unweighted) median and mean ranks rule items out first: each of the n - 1 others can be above a
+    winner on `spare` scores at most, so its ranks minus 1 add up to spare (n - 1) at most, which bounds its mean
+    rank, and its median rank too, since the ranks from the median on are no smaller. What is left plays
+    knock-out in chunks of CHUNK rows (a winner survives any order of play), and the survivor is checked
+    against every row of its group.
     """
     need = len(scores) // 2 + 1
     spare = len(scores) - need  # scores on which one opponent may be at or above
-    above = sum((F.col(f"upto_{s}") - 1 for s in scores), F.lit(0))
+    others = spare * (F.col("n") - 1)
+    from_median = len(scores) - -(-len(scores) // 2) + 1  # ranks that are the median or follow it
+    possible = ((F.col("median_rank") - 1) * from_median <= others) & ((F.col("mean_rank") - 1) * len(scores) <= others + 1e-6 * F.col("n"))
     vec = F.struct(F.col(item).alias("i"), *scores)
-    rows = ranked.filter(F.col("n") >= least_items).select(F.col(group).alias("g"), vec.alias("x"), "n", above.alias("above"))
-    left = rows.filter(F.col("above") <= spare * (F.col("n") - 1)).select("g", "x", F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int").alias("salts"))
+    rows = ranked.filter(F.col("n") >= least_items).select(F.col(group).alias("g"), vec.alias("x"), "n", possible.alias("possible"))
+    left = rows.filter("possible").select("g", "x", F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int").alias("salts"))
 
     def duel(a, b):
         def wins(p, q):
@@ -150,5 +152,6 @@ def majority_winners(ranked: DataFrame, group: str, item: str, scores: Sequence[
     first = play(left.withColumn("salt", F.pmod(F.xxhash64("x.i"), F.col("salts"))), "g", "salt")
     last = play(first, "g").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("g", "salt", F.col("x").alias("w"))
     all_rows = rows.withColumn("salt", F.pmod(F.xxhash64("x.i"), F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")).cast("int"))
-    check = all_rows.join(last, ["g", "salt"]).groupBy("g", F.col("w.i").alias("i")).agg(F.max("n").alias("n"), F.sum(F.when(_wins("w", "x", scores) >= need, 1).otherwise(0)).alias("beaten"))
+    # the survivors are the small side, built group by group: the planner, misled by pruned files, would send all rows to every task
+    check = all_rows.join(last.hint("shuffle_hash"), ["g", "salt"]).groupBy("g", F.col("w.i").alias("i")).agg(F.max("n").alias("n"), F.sum(F.when(_wins("w", "x", scores) >= need, 1).otherwise(0)).alias("beaten"))
     return check.filter(F.col("beaten") == F.col("n") - 1).select(F.col("g").alias(group), F.col("i").alias(item))

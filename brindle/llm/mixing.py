@@ -87,11 +87,11 @@ def _flier(seed: int, level: int, last: bool):
     """Flight of one block of a source, with landing on the last level."""
 
     def fly(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "id"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "id", "at"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(key[1]), len(pdf), sum(str(key[0]).encode())])
         pdf = pdf.iloc[rng.permutation(len(pdf))].reset_index(drop=True)
         p = flight(pdf["p"].tolist(), pdf["size"].astype(float).tolist(), rng)
-        return pdf[["source", "id", "size", "base", "p"]].assign(p=land(p, rng) if last else p)
+        return pdf[["source", "id", "at", "size", "base", "p"]].assign(p=land(p, rng) if last else p)
 
     return fly
 
@@ -102,25 +102,28 @@ def mix(records: DataFrame, ident: str, source: str, size: str, targets: DataFra
 
     Records of null or other sources are never drawn but count in the total that shares refer to. A
     record of null size has size 0. A null identifier is allowed; repeated rows are drawn separately.
-    A source whose capacity (size x repeats) is below its target is `short`: all of it is taken as often
-    as allowed. Empty tables give an empty draw. The same input gives the same draw.
+    A source is `short` if the draw takes all of it as often as allowed and still gives less than its target.
+    Empty tables give an empty draw. The same input gives the same draw.
     """
-    rows = write_table(records.select(F.col(ident).alias("id"), F.col(source).alias("given"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size")), "mix-rows").df
+    at = F.when(F.col(ident).isNull(), F.monotonically_increasing_id())  # written, so it stays; tells records without identifier apart
+    rows = write_table(records.select(at.alias("at"), F.col(ident).alias("id"), F.col(source).alias("given"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size")), "mix-rows").df
     wanted = write_table(plan(rows, "given", "size", targets, target_source, share, repeats), "mix-plan").df
     keyed = rows.withColumn("key", source_key(F.col("given")))
     every = keyed.join(F.broadcast(wanted.select("key", "source", "rate")), "key").withColumn("base", F.floor("rate").cast("int"))
-    todo = every.select("source", "id", "size", "base", (F.col("rate") - F.col("base")).alias("p"))
+    todo = every.select("source", "id", "at", "size", "base", (F.col("rate") - F.col("base")).alias("p"))
     decided = todo.filter("p = 0").select("source", "id", "size", F.col("base").alias("copies"))
     todo = todo.filter("p > 0")
     counts = {r["source"]: r["n_records"] for r in wanted.filter(F.col("rate") > F.floor("rate")).select("source", "n_records").collect()}
     level, parts = 0, [decided]
-    schema = "source string, id {}, size bigint, base int, p double".format(dict(rows.dtypes)["id"])
+    schema = "source string, id {}, at bigint, size bigint, base int, p double".format(dict(rows.dtypes)["id"])
     while counts:
         blocks = {s: max(1, -(-n // block)) for s, n in counts.items()}
         last = all(b == 1 for b in blocks.values())
         table = todo.sparkSession.createDataFrame(list(blocks.items()), "source string, blocks int")
 
-        placed = todo.join(F.broadcast(table), "source").withColumn("_b", F.pmod(F.xxhash64("id", "size", F.lit(level)), F.col("blocks")))
+        # a fixed number of partitions: small blocks would be put together into one task otherwise
+        tasks = min(sum(blocks.values()), int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        placed = todo.join(F.broadcast(table), "source").withColumn("_b", F.pmod(F.xxhash64("id", "at", "size", F.lit(level)), F.col("blocks"))).repartition(tasks, "source", "_b")
         flown = write_table(placed.groupBy("source", "_b").applyInPandas(_flier(seed, level, last), schema), "mix-flight").df
         parts.append(flown.filter("p IN (0, 1)").select("source", "id", "size", (F.col("base") + F.col("p")).cast("int").alias("copies")))
         todo = flown.filter("p > 0 AND p < 1")
@@ -132,7 +135,8 @@ def mix(records: DataFrame, ident: str, source: str, size: str, targets: DataFra
     drawn = all_parts.filter("copies > 0")
     got = drawn.groupBy("source").agg(F.sum("copies").alias("drawn_records"), F.sum(F.col("copies") * F.col("size")).alias("drawn_size"), F.max("copies").alias("most_copies"))
     report = wanted.join(F.broadcast(got), "source", "left").na.fill(0, ["drawn_records", "drawn_size", "most_copies"])
-    report = report.withColumn("short", F.col("capacity") < F.col("target"))
+    exhausted = F.col("drawn_records") == F.col("n_records") * F.col("max_repeats")
+    report = report.withColumn("short", exhausted & (F.col("drawn_size") < F.col("target")))
     reached = F.sum("drawn_size").over(Window.partitionBy(F.lit(1)))  # over the report only: as many rows as targets
     report = report.withColumn("reached_share", F.when(reached > 0, F.col("drawn_size") / reached).otherwise(F.lit(0.0)))
     named = drawn.select(F.col("id").alias(ident), "source", F.col("size").alias("size"), "copies")

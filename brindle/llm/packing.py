@@ -6,8 +6,9 @@ dissolves the emptiest bins. Fitness is the mean of squared fill.
 
 Items are dealt into blocks of bounded size; each block is evolved by several islands (one task each),
 which hand their elite to the next island between epochs. Badly filled bins of all blocks are dissolved
-into fewer blocks and packed again, until one block is left. An item larger than a container gives full
-containers of its own and a remainder; no other item is ever cut.
+into fewer blocks and packed again, until one block is left or that saves no bin. A block at its lower bound
+(total size over capacity, rounded up) has nothing to gain and isn't evolved further. An item larger than
+a container gives full containers of its own and a remainder; no other item is ever cut.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from brindle.sources.materialize import write_table
 BLOCK = 2000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 5
-POPULATION = 4
-ELITE = 2
+GENERATIONS = 30
+CHILDREN = 4
+POPULATION = 12
+ELITE = 3
 #: A bin filled at least this much is final at once.
 GOOD_FILL = 0.98
 
@@ -104,7 +106,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[list[list[int
     for _ in range(generations):
         if len(pop[int(np.argmax(score))]) <= enough:
             break
-        for _ in range(2):
+        for _ in range(CHILDREN):
             i, j = (int(max(rng.integers(0, len(pop), 2), key=lambda k: score[k])) for _ in range(2))
             child = _mutate(_cross(pop[i], pop[j], sizes, capacity, rng), sizes, capacity, rng)
             worst = int(np.argmin(score))
@@ -189,21 +191,20 @@ def pack(items: DataFrame, ident: str, size: str, capacity: int, block: int = BL
     loose = pieces.filter((F.col("size") > 0) & (F.col("size") < capacity)).select("id", "size")
     n = loose.count()
     done, level = None, 0
+    before = None  # bins that the loose items fill now
     while n:
         blocks = -(-n // block)
-        packed = _pack_blocks(loose.withColumn("block", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(blocks))), capacity, islands, epochs, seed + level)
+        packed = _pack_blocks(loose.select("id", "size").withColumn("block", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(blocks))), capacity, islands, epochs, seed + level)
         named = packed.withColumn("container", F.concat_ws("-", F.lit(f"L{level}"), F.col("block"), F.col("bin")))
-        if blocks > 1:
-            fill = named.groupBy("block", "bin").agg((F.sum("size") >= GOOD_FILL * capacity).alias("good"))
-            named = write_table(named.join(fill, ["block", "bin"]), "pack-level").df
-            final = named.filter("good")
-            loose = named.filter("NOT good").select("id", "size")
-            left = loose.count()
-            if left > 0.8 * n:  # too few good bins: keep them all rather than go round
-                final, left = named, 0
-            n = left
-        else:
+        fill = named.groupBy("block", "bin").agg((F.sum("size") >= GOOD_FILL * capacity).alias("good"))
+        named = write_table(named.join(fill, ["block", "bin"]), "pack-level").df
+        bins, poor, n_poor = named.agg(F.count_distinct("container"), F.count_distinct(F.when(~F.col("good"), F.col("container"))), F.count(F.when(~F.col("good"), 1))).first()
+        if before is not None and bins >= before:  # packing again saves nothing
+            final, n = loose, 0
+        elif blocks == 1:
             final, n = named, 0
+        else:
+            final, loose, n, before = named.filter("good"), named.filter("NOT good"), n_poor, poor
         done = final.select("id", "container") if done is None else done.unionByName(final.select("id", "container"))
         level += 1
     whole = F.when(F.col("size") == capacity, F.concat(F.lit("F-"), F.col("id")))

@@ -62,8 +62,8 @@ def p2_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs with each term of at most 8 entities that both labels hold."""
-    scores = distinct_terms.term_scores(_labelled(spark, d), "iri", "words")
+    """Candidate pairs with each term both labels hold that is distinctive enough to be of at most 8 entities, and is."""
+    scores = distinct_terms.term_scores(_labelled(spark, d), "iri", "words", max_df=8)
     c = table(spark, d, "candidates").filter(F.col("src_iri").isNotNull() & F.col("tgt_iri").isNotNull() & ~blank(F.col("src_label")) & ~blank(F.col("tgt_label")))
     pairs = distinct_terms.telling_pairs(scores, "iri", 8, c, "src_iri", "tgt_iri", F.col("src_label"), F.col("tgt_label"), normal_words)
     return pairs.select("src_iri", "tgt_iri", "term")
@@ -143,7 +143,7 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Source entities that the present folds tear apart."""
+    """Source entities whose rows, all of them now in one split, carry several of the present folds."""
     return _splits(spark, d).filter("n_fold >= 2").select("src_iri")
 
 
@@ -169,7 +169,7 @@ def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The pair of a source that beats each other one on two of three scores, from the ranks."""
+    """The pair of a source that beats each other one on two of three scores: of those whose median and mean rank allow it, by an exact check."""
     r = write_table(median_rank.rank_items(_scored_pairs(spark, d), "src_iri", "tgt_iri", SCORES), "ranked").df
     return median_rank.majority_winners(r, "src_iri", "tgt_iri", SCORES, least_items=3)
 
@@ -222,8 +222,8 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that had to be cut."""
-    return _packed(spark, d).filter("pieces > 1").select("doc_id").distinct()
+    """Documents whose text lies in several containers."""
+    return _packed(spark, d).groupBy("doc_id").agg(F.count_distinct("container").alias("n"), F.count(F.when(F.col("piece") == 1, 1)).alias("copies")).filter("n > copies").select("doc_id")
 
 
 # 9: mix
@@ -245,7 +245,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that can't reach their share."""
+    """Sources that the draw exhausts below their share."""
     return _mixed(spark, d)[1].filter("short").select("source")
 
 

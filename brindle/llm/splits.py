@@ -27,6 +27,8 @@ BLOCK = 20_000
 RUN = 10_000
 #: A component with more than 1/LARGE of all records is placed on the driver; there are at most LARGE.
 LARGE = 1000
+#: Targets come to the driver, and every block holds a row of needs for each of them.
+MOST_SPLITS = 1000
 
 
 def stratify(vectors: np.ndarray, desired: np.ndarray) -> np.ndarray:
@@ -95,10 +97,13 @@ def grouped_splits(records: DataFrame, keys: Sequence[str], labels: dict[str, Co
     `labels` are conditions over a record. Records of which all keys are null have no component and are
     left out, or with `alone` each is a component of its own, marked in that column and stratified with the rest;
     null label conditions count as false. Targets with null or no positive share get nothing;
-    shares are scaled to sum 1. n_AUDIT is the number of distinct non-null values of the column `audit`
-    within the component. Empty records give an empty table; without a usable target the split is null.
+    shares are scaled to sum 1; more than MOST_SPLITS of them are an error. n_AUDIT is the number of distinct
+    non-null values of the column `audit` among the component's records in its split, counted after placing. Empty records
+    give an empty table; without a usable target the split is null.
     """
-    given = [(r[0], float(r[1])) for r in targets.groupBy(name).agg(F.max(share)).orderBy(name).limit(1000).collect() if r[1] is not None and r[1] > 0]
+    given = [(r[0], float(r[1])) for r in targets.groupBy(name).agg(F.max(share)).orderBy(name).limit(MOST_SPLITS + 1).collect() if r[1] is not None and r[1] > 0]
+    if len(given) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
     names, shares = [g[0] for g in given], np.array([g[1] for g in given])
     shares = shares / shares.sum() if len(shares) else shares
     labs = list(labels)
@@ -107,13 +112,18 @@ def grouped_splits(records: DataFrame, keys: Sequence[str], labels: dict[str, Co
         rows = rows.withColumn("alone", F.col("component").isNull()).withColumn("component", F.coalesce("component", F.md5(F.to_json(F.struct(*records.columns)))))
     rows = rows.filter(F.col("component").isNotNull())
     aggs = [F.sum(F.when(cond, 1).otherwise(0)).cast("bigint").alias(k) for k, cond in labels.items()]
-    extra = [] if audit is None else [F.size(F.collect_set(audit)).alias(f"n_{audit}")]
-    comps = rows.groupBy("component", *["alone"] * alone).agg(*aggs, F.count(F.lit(1)).alias("n_rows"), *extra)
+    given_by = ["component", *["alone"] * alone]
+    parts = rows.groupBy(*given_by, *([audit] if audit else [])).agg(*aggs, F.count(F.lit(1)).alias("n_rows"))
+    if audit:  # one row for each value of a component, of which both its totals and the audit are made
+        parts = write_table(parts, "split-values").df
+        comps = parts.groupBy(*given_by).agg(*[F.sum(c).alias(c) for c in (*labs, "n_rows")])
+    else:
+        comps = parts
     comps = write_table(_singled(comps, [*labs, "n_rows"]) if alone else comps, "split-components").df
     width = [*labs, "n_rows"]
     sums = comps.agg(*[F.sum(c) for c in width], F.count(F.lit(1))).first()
     if not names:
-        return comps.withColumn("split", F.lit(None).cast("string"))
+        return _audited(comps.withColumn("split", F.lit(None).cast("string")), parts, audit, alone)
     total = np.array([float(x or 0) for x in sums[:-1]])
     desired = shares[:, None] * total[None, :]
     is_large = F.col("n_rows") > max(total[-1] / LARGE, 1)
@@ -139,4 +149,22 @@ def grouped_splits(records: DataFrame, keys: Sequence[str], labels: dict[str, Co
     small = small.groupBy("_block").applyInPandas(place, schema)
     heads = comps.sparkSession.createDataFrame(placed, "component string, split string")
     big = comps.filter(is_large).join(F.broadcast(heads), "component").select(*out_cols, "split")
-    return small.unionByName(big)
+    return _audited(write_table(small.unionByName(big), "split-placed").df if audit else small.unionByName(big), parts, audit, alone)
+
+
+def _audited(placed: DataFrame, parts: DataFrame, audit: str | None, alone: bool) -> DataFrame:
+    """`placed` with n_AUDIT: how many non-null values of `audit` each component's records hold that now share its split.
+
+    A record that is a component of its own has one value or none.
+    """
+    if audit is None:
+        return placed
+    whole = placed.filter("NOT alone") if alone else placed
+    now = parts.filter("NOT alone") if alone else parts
+    per = now.select("component", audit).join(whole.select("component", "split"), "component").groupBy("component", "split").agg(F.count(audit).cast("int").alias(f"n_{audit}"))
+    out = whole.join(per.withColumnRenamed("split", "_split"), "component", "left").filter(F.col("split").eqNullSafe(F.col("_split"))).drop("_split")
+    if not alone:
+        return out
+    one = parts.filter("alone").select("component", F.col(audit).isNotNull().cast("int").alias(f"n_{audit}"))
+    single = placed.filter("alone").withColumn("_c", F.substring_index("component", "-", 1))
+    return out.unionByName(single.join(one.withColumnRenamed("component", "_c"), "_c").drop("_c").select(out.columns))

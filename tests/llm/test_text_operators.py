@@ -47,6 +47,28 @@ def test_pack_edges(spark):
         packing.pack(blank, "d", "n", 0)
 
 
+def test_evolution_beats_best_fit():
+    """Triplets that fill containers exactly mislead best fit; crossover of well-filled bins recovers some."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        sizes = []
+        for _ in range(40):
+            a = int(rng.integers(380, 499))
+            b = int(rng.integers(250, (1000 - a) // 2 + 1))
+            sizes += [a, b, 1000 - a - b]
+        plain = packing._best_fit([], sorted(range(120), key=lambda i: -sizes[i]), sizes, 1000)
+        best = packing.evolve(sizes, 1000, 1)[0]
+        assert sorted(i for b in best for i in b) == list(range(120)) and max(sum(sizes[i] for i in b) for b in best) <= 1000
+        assert len(best) < len(plain)
+
+
+def test_pack_ends_where_packing_again_saves_nothing(spark):
+    """Items of 60 fill every container badly, in any number of blocks."""
+    df = spark.createDataFrame([(k, 60) for k in range(500)], "id int, n int")
+    out = packing.pack(df, "id", "n", 100, block=40).collect()
+    assert len({r["container"] for r in out}) == 500
+
+
 def test_evolution_never_worsens():
     rng = np.random.default_rng(0)
     sizes = rng.integers(20, 70, 300).tolist()
