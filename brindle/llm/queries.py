@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.normal import normal_form, normal_words
+from brindle.functions.normal import normal_forms, normal_words
 from brindle.llm import distinct_terms, entity_match, median_rank, mixing, packing, reading_level, set_join, splits, top_n
 from brindle.llm.common import blank, canonical_iri, clean_score
 from brindle.llm.components import components
@@ -77,8 +77,7 @@ _FIELDS = {"label_tokens": "0.8", "labels": "0.6"}
 def _sets(spark: SparkSession, d: str, field: str) -> DataFrame:
     p = _profiles(spark, d).select("iri", F.col(field).alias("e"))
     if field == "labels":  # values in normal form, blank ones dropped
-        words = p.select("iri", F.posexplode_outer("e").alias("at", "value"), F.xxhash64("e").alias("row"))
-        p = words.select("iri", "row", normal_form(F.col("value")).alias("v")).filter("v <> ''").groupBy("iri", "row").agg(F.collect_set("v").alias("e")).select("iri", "e")
+        p = p.select("iri", F.filter(normal_forms(F.col("e")), lambda v: v != "").alias("e"))
     return write_table(set_join.class_table(p, "iri", "e"), f"sets-{field}").df
 
 
