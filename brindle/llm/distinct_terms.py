@@ -90,7 +90,8 @@ def term_scores(records: DataFrame, record: str, terms: str, max_df: int | None
     With `max_df` q_limit is the largest q that a term of at most so many records can have there: its total
     is at most max_df times the most a record has of a term, the tail grows with the total, and q with the tail.
     """
-    words = records.filter(F.col(record).isNotNull()).select(F.col(record).alias("r"), F.explode(F.col(terms)).alias("t")).filter("t IS NOT NULL AND t <> ''")
+    # explode_outer: for explode the optimizer would infer a filter on the terms and compute them twice, below the caller's distinct
+    words = records.filter(F.col(record).isNotNull()).select(F.col(record).alias("r"), F.explode_outer(F.col(terms)).alias("t")).filter("t IS NOT NULL AND t <> ''")
     counts = write_table(words.groupBy("r", "t").agg(F.count(F.lit(1)).alias("k")), "term-counts").df
     lengths = counts.groupBy("r").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("c"))
     per_term = counts.groupBy("t").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("df"))
