@@ -25,7 +25,9 @@ def canonical_iri(c: Column) -> Column:
     for prefix, space in CURIE_PREFIXES.items():
         out = out.when(x.startswith(prefix + ":"), F.concat(F.lit(space), local))
     out = out.otherwise(x)
-    return F.when(out == "", F.lit(None).cast("string")).otherwise(out)
+    # most identifiers are written so already, which one look tells
+    done = c.rlike(r"^http://(?!www\.)[a-z0-9.:-]*(?:/[^%\s<>]*)?\z")
+    return F.when(done, c).when(out == "", F.lit(None).cast("string")).otherwise(out)
 
 
 def clean_score(c: Column) -> Column:

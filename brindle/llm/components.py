@@ -13,32 +13,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.skew import hot_keys, salted_join
+from brindle.operators.skew import hot_keys, hot_limit, salted_join
 from brindle.sources.materialize import Written, write_table
 
 
-def _unsettled(edges: DataFrame) -> tuple[int, int]:
-    """(edges, nodes that keep the edges from being stars): a node with two edges downwards, or with edges both ways.
+def _unsettled(edges: DataFrame) -> tuple[int, int, int]:
+    """(edges, nodes that keep the edges from being stars, most edges of a node): a node with two edges downwards, or
+    with edges both ways, is unsettled.
 
     Stars are exactly what neither rewrite changes.
     """
-    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-    per = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
-    n, bad = per.agg(F.sum("down"), F.count(F.when(F.col("down") + F.col("up") > 1, 1))).first()
-    return n or 0, bad
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e")).select("e.*")
+    per = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"), F.count(F.lit(1)).alias("n"))
+    n, bad, most = per.agg(F.sum("down"), F.count(F.when(F.col("down") + F.col("up") > 1, 1)), F.max("n")).first()
+    return n or 0, bad, most or 0
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _hubs(counts: DataFrame, total: int, most: int) -> DataFrame:
+    """Hot nodes; no job where no node has enough edges. A rewrite doesn't give a node more edges downwards than it had."""
+    return hot_keys(counts, "u", total=total if most > hot_limit(total) else 0)
+
+
+def _large_star(edges: DataFrame, total: int, most: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
     larger = both.filter(F.col("v") > F.col("u"))
-    joined = salted_join(larger, least.select("u", "m"), "u", hot_keys(least, "u", total=2 * total), F.col("v"))
+    joined = salted_join(larger, least.select("u", "m"), "u", _hubs(least, 2 * total, most), F.col("v"))
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame, total: int, most: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = salted_join(edges, least.select("u", "m"), "u", hot_keys(least, "u", total=total), F.col("v"))
+    joined = salted_join(edges, least.select("u", "m"), "u", _hubs(least, total, most), F.col("v"))
     moved = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -51,19 +57,20 @@ def components(pairs: DataFrame, left: str, right: str, max_rounds: int = 200) -
     gives an empty table. Comparison is by byte. Ends when a whole round leaves the edges unchanged.
     """
     given = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    loops = given.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("group"))
-    edges = given.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cur: Written = write_table(edges, "cc")
-    total, bad = _unsettled(cur.df)
+    links = write_table(given.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    loops = links.df.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("group"))
+    cur = Written(links.spark, links.url, links.df.filter("u <> v"))
+    total, bad, most = _unsettled(cur.df)
     for _ in range(max_rounds):
         if not bad:
             break
-        large = write_table(_large_star(cur.df, total), "cc-large")
-        small = write_table(_small_star(large.df, total), "cc-small")
-        cur.drop()
+        large = write_table(_large_star(cur.df, total, most), "cc-large")
+        small = write_table(_small_star(large.df, total, most), "cc-small")
+        if cur.url != links.url:
+            cur.drop()
         large.drop()
         cur = small
-        total, bad = _unsettled(cur.df)
+        total, bad, most = _unsettled(cur.df)
     else:
         raise RuntimeError("components did not settle")
     star = cur.df
