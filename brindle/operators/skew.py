@@ -48,3 +48,16 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, spre
     left = big.join(hot_b, key, "left").withColumn("_salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("salts")).cast("int"))).drop("salts")
     right = small.join(hot_b, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def crossed_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread_left: Column, spread_right: Column) -> DataFrame:
+    """Inner join of two sides that may both have many rows of one key. `hot` has (key, a, b): the key's left rows are
+    dealt into a parts and its right rows into b, and each left part meets each right part in a task of its own."""
+    hot_b = F.broadcast(hot)
+
+    def dealt(df: DataFrame, spread: Column, own: str, other: str) -> DataFrame:
+        d = df.join(hot_b, key, "left")
+        d = d.withColumn(f"_{own}", F.when(F.col(own).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col(own)).cast("int")))
+        return d.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))).drop("a", "b")
+
+    return dealt(left, spread_left, "a", "b").join(dealt(right, spread_right, "b", "a"), [key, "_a", "_b"]).drop("_a", "_b")

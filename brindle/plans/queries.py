@@ -663,8 +663,8 @@ def tfidf_chars(s, d):
 @query(_with(_TFIDF, "src_ents", "tgt_ents")("SELECT src_iri, tgt_iri, round(s, 5) AS score FROM (SELECT a.iri AS src_iri, b.iri AS tgt_iri, round(sum(a.weight * b.weight), 9) AS s FROM n a JOIN n b USING (term) WHERE a.iri IN (SELECT iri FROM src_ents) AND b.iri IN (SELECT iri FROM tgt_ents) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY src_iri ORDER BY s DESC, tgt_iri) <= 3"))
 def top_tfidf(s, d):
     w = materialize(_word_tfidf(s, d), "tfidf")
-    j = retrieval.term_join(retrieval.restrict(w, views.ents(s, d, "src")), retrieval.restrict(w, views.ents(s, d, "tgt"))).withColumn("score", F.round("score", 9))
-    return retrieval.top_k(j, 3).select("src_iri", "tgt_iri", _r(F.col("score"), 5).alias("score"))
+    t = retrieval.top_tfidf(retrieval.restrict(w, views.ents(s, d, "src")), retrieval.restrict(w, views.ents(s, d, "tgt")), 3, digits=9)
+    return t.select("src_iri", "tgt_iri", _r(F.col("score"), 5).alias("score"))
 
 
 @query()
