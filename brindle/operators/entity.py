@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.vector import total
 from brindle.operators.evaluation import auc_ap
-from brindle.operators.ranking import pct_rank, pct_ranks
+from brindle.operators.ranking import pct_rank_long, pct_ranks
 
 TINY = 1e-12
 # Softmax temperatures, quantiles, fractions of the top score; gate names, grids and recall floors.
@@ -169,7 +169,7 @@ def rank_ensemble(table: DataFrame, features: Sequence[str], label: str = "label
     stats = auc_ap(long, "value", label, ["feature"]).select("feature", (F.col("auc") - 0.5).alias("lead"))
     rows = {r["feature"]: r["lead"] for r in stats.collect()}  # one row per feature
     best = {f: x for f, x in rows.items() if abs(x) >= least} or dict(sorted(rows.items(), key=lambda kv: -abs(kv[1]))[:most])
-    ranked = long.filter(F.col("feature").isin(list(best))).withColumn("r", pct_rank(F.col("value"), "feature"))
+    ranked = pct_rank_long(long.filter(F.col("feature").isin(list(best))))
     lead = F.create_map(*[x for f, v in best.items() for x in (F.lit(f), F.lit(float(v)))])[F.col("feature")]
     turned = F.when(lead >= 0, F.col("r")).otherwise(1 - F.col("r"))
     weight = F.greatest(F.abs(lead), F.lit(1e-9))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.ranking import best_prefix, correct_ranks
+from brindle.operators.running import running
 
 
 def _prf(tp: Column, n_pred: Column, n_gold: Column) -> list[Column]:
@@ -51,11 +52,15 @@ def auc_ap(df: DataFrame, value: str, label: str, by: Sequence[str] = ()) -> Dat
     """(by..., n, n_pos, auc, ap): area under the ROC curve (ties count half; 0.5 with one class) and average
     precision over distinct scores (0 without positives)."""
     g = _by_value(df, value, label, by)
-    keys = [F.col(b) for b in by] or [F.lit(1)]
-    up = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*keys).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumn("neg", F.col("c") - F.col("p")).withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0)))
-    g = g.withColumn("hits", F.sum("p").over(down)).withColumn("seen", F.sum("c").over(down))
+    order = [*[F.asc_nulls_first(b) for b in by], F.asc("v")]
+    g = running(g, order, sums={"upto": F.col("c"), "hits_upto": F.col("p")})
+    # a row per group: where its part of the order begins, and what it holds
+    whole = g.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.min(F.col("upto") - F.col("c")).alias("c0"), F.min(F.col("hits_upto") - F.col("p")).alias("p0"), F.sum("c").alias("cn"), F.sum("p").alias("pn"))
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+    g = g.join(F.broadcast(whole), same) if same else g.crossJoin(F.broadcast(whole))  # one row where there are no groups
+    before, hits_before = F.col("upto") - F.col("c") - F.col("c0"), F.col("hits_upto") - F.col("p") - F.col("p0")
+    g = g.withColumn("neg", F.col("c") - F.col("p")).withColumn("below", before - hits_before)
+    g = g.withColumn("hits", F.col("pn") - hits_before).withColumn("seen", F.col("cn") - before)
     a = g.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("p").alias("n_pos"), F.sum(F.col("p") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum(F.col("p") * F.col("hits") / F.col("seen")).alias("ap_sum"))
     neg = F.col("n") - F.col("n_pos")
     return a.select(*by, "n", "n_pos", F.when((F.col("n_pos") > 0) & (neg > 0), F.col("u") / (F.col("n_pos") * neg)).otherwise(F.lit(0.5)).alias("auc"), F.when(F.col("n_pos") > 0, F.col("ap_sum") / F.col("n_pos")).otherwise(F.lit(0.0)).alias("ap"))

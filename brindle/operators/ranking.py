@@ -1,8 +1,8 @@
 """Ranks, margins, empirical distributions and score prefixes as window expressions.
 
 Ties: row numbers break them by identifier, `rank` shares the smallest, percent ranks average them.
-Windows without a natural group are taken over an unpivoted table partitioned by column, so that no
-window has to hold all columns.
+Orders without a natural group are cumulated over range partitions of the distinct values, so that no
+task has to hold a column.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.running import running
+
 
 def both_row_numbers(df: DataFrame, score: str = "score") -> DataFrame:
     """With src_rank and tgt_rank: 1 for the best row of a source and of a target, ties by the other identifier."""
@@ -35,40 +37,44 @@ def gap_from_best(df: DataFrame, group: str, score: str) -> Column:
     return F.max(score).over(Window.partitionBy(group)) - F.col(score)
 
 
-def pct_rank(value: Column, *partition: str) -> Column:
-    """Average-tie percent rank: (smallest rank + (ties - 1) / 2) / n."""
-    by = [F.col(p) for p in partition] or [F.lit(1)]
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return (rank + (ties - 1) / 2) / F.count(F.lit(1)).over(Window.partitionBy(*by))
+def pct_rank_long(long: DataFrame, name: str = "r") -> DataFrame:
+    """`long` (.., feature, value) with the average-tie percent rank of each value within its feature, null values lowest.
+
+    Distinct values are counted and the counts cumulated over range partitions, so no feature's rows meet in one task.
+    """
+    v = F.col("value").cast("double")
+    steps = long.groupBy("feature", v.alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    upto = running(steps, [F.asc("feature"), F.asc_nulls_first("value")], sums={"upto": F.col("c")})
+    whole = upto.groupBy(F.col("feature").alias("f")).agg(F.min(F.col("upto") - F.col("c")).alias("start"), F.sum("c").alias("n"))  # a row per feature
+    ranks = upto.join(F.broadcast(whole), F.col("feature") == F.col("f"))
+    ranks = ranks.select("f", F.col("value").alias("x"), ((F.col("upto") - F.col("start") - (F.col("c") - 1) / 2) / F.col("n")).alias(name))
+    return long.join(ranks, (F.col("feature") == F.col("f")) & v.eqNullSafe(F.col("x"))).drop("f", "x")
 
 
 def pct_ranks(df: DataFrame, key: Sequence[str], columns: Sequence[str], prefix: str = "rank__") -> DataFrame:
     """`key` with one percent-rank column for each of `columns`: unpivoted, ranked by column, pivoted back."""
-    long = df.unpivot(list(key), list(columns), "feature", "value")
-    ranked = long.withColumn("r", pct_rank(F.col("value"), "feature"))
+    base = df.select(*key, *[F.col(c).cast("double").alias(c) for c in columns])
+    ranked = pct_rank_long(base.unpivot(list(key), list(columns), "feature", "value"))
     return ranked.groupBy(*key).pivot("feature", list(columns)).agg(F.max("r")).withColumnsRenamed({c: f"{prefix}{c}" for c in columns})
 
 
 def ecdf(values: DataFrame, value: str, reference: DataFrame, ref_value: str, name: str = "cdf") -> DataFrame:
     """`values` with the share of reference values at or below each value; null for null, 0 without a reference.
 
-    The reference is counted by distinct value and cumulated; values meet it by distinct value too.
+    The reference is counted by distinct value and cumulated over range partitions; values meet it by distinct value too.
     """
-    n = reference.filter(F.col(ref_value).isNotNull()).count()
-    v = values.select(F.col(value).alias("x")).filter("x IS NOT NULL").distinct().withColumn("c", F.lit(0))
+    v = values.select(F.col(value).alias("x")).filter("x IS NOT NULL").distinct().withColumn("c", F.lit(0).cast("bigint"))
     r = reference.select(F.col(ref_value).alias("x")).filter("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    n = r.agg(F.sum("c")).first()[0] or 0
     steps = v.unionByName(r).groupBy("x").agg(F.sum("c").alias("c"))
-    cum = F.sum("c").over(Window.orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    table = steps.select(F.col("x").alias(value), (cum / F.lit(float(max(n, 1)))).alias(name))
+    table = running(steps, [F.asc("x")], sums={"upto": F.col("c")}).select(F.col("x").alias(value), (F.col("upto") / F.lit(float(max(n, 1)))).alias(name))
     return values.join(table, value, "left")
 
 
 def best_prefix(df: DataFrame, score: str, label: str, gold_total: int, descending: bool = True) -> DataFrame:
     """One row: the score threshold with the best F1 over all prefixes of the score order, equal scores together."""
     g = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(label).cast("bigint")).alias("p"))
-    w = Window.orderBy(F.desc("threshold") if descending else F.asc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumn("n", F.sum("c").over(w)).withColumn("tp", F.sum("p").over(w))
+    g = running(g, [F.desc("threshold") if descending else F.asc("threshold")], sums={"n": F.col("c"), "tp": F.col("p")})
     g = g.withColumn("precision", F.col("tp") / F.col("n")).withColumn("recall", F.col("tp") / F.lit(float(max(gold_total, 1))))
     g = g.withColumn("f1", F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("n") + F.lit(gold_total))).otherwise(F.lit(0.0)))
     return g.orderBy(F.desc("f1"), F.desc("threshold") if descending else F.asc("threshold")).limit(1).select("threshold", "n", "tp", "precision", "recall", "f1")
