@@ -1,7 +1,8 @@
 """Entity-level statistics of a scored bipartite graph, alignability gates and rank ensembles.
 
-All 54 statistics of an entity are functions of its sorted scores, so one aggregation collects them and
-higher-order functions do the rest; nothing is read twice.
+The 54 statistics of an entity come from its distinct scores with their counts. One global order, cumulated over
+range partitions, gives every value its positions, hence quantiles and top scores; entropies are sums in
+closed form. Everything is pre-aggregated, so no task ever holds the scores of one entity.
 """
 
 from __future__ import annotations
@@ -11,96 +12,124 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.vector import total
 from brindle.operators.evaluation import auc_ap
 from brindle.operators.ranking import pct_rank_long, pct_ranks
+from brindle.operators.running import running
+from brindle.operators.skew import hot_keys, salted_join
+from brindle.sources.materialize import write_table
 
 TINY = 1e-12
 # Softmax temperatures, quantiles, fractions of the top score; gate names, grids and recall floors.
 TEMPERATURES = (0.05, 0.10, 0.20, 0.50, 1.00)
-QUANTILES = (0.05, 0.10, 0.25, 0.75, 0.90, 0.95)
-FRACTIONS = (0.50, 0.80, 0.90, 0.95)
+QUANTILES = (0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
+FRACTIONS = (0.90, 0.75, 0.50)
 GATES = ("none", "src_only", "tgt_only", "hard_and", "low_low_veto", "min_rank", "geomean_rank")
 V3_GRID = (0.0, 0.025, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
+MODEL_GRID = (0.0, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50)
 TIERS = {"SAFE": 0.995, "BALANCED": 0.980, "AGGRESSIVE": 0.950}
 
 
-def mass_entropy(v: Column, n: Column) -> tuple[Column, Column, Column]:
-    """(entropy, entropy / ln n, sum of squares) of the scores as masses; uniform where they sum to nothing."""
-    pos = F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))
-    s = total(pos)
-    p = F.transform(pos, lambda x: F.when(s > TINY, x / s).otherwise(1.0 / n))
-    h = 0.0 - total(F.transform(p, lambda x: x * F.log(F.greatest(x, F.lit(TINY)))))
-    return h, F.when(n > 1, h / F.log(n)).otherwise(F.lit(0.0)), total(F.transform(p, lambda x: x * x))
-
-
-def soft_entropy(v: Column, top: Column, n: Column, t: float) -> Column:
-    """Entropy of softmax((x - top) / t), exponents within 60."""
-    e = F.transform(v, lambda x: F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), (x - top) / t))))
-    s = total(e)
-    p = F.transform(e, lambda x: x / s)
-    return F.when(n > 1, 0.0 - total(F.transform(p, lambda x: x * F.log(F.greatest(x, F.lit(TINY)))))).otherwise(F.lit(0.0))
+def finite(c: Column) -> Column:
+    """A number; null, NaN and infinite ones are 0."""
+    x = c.cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
 
 
 def entity_statistics(scored: DataFrame, entity: str, score: str = "score", threshold: float = 0.5, label: str | None = None) -> DataFrame:
-    """One row per entity with its statistics (and label, the highest of its rows). Null and NaN scores are left out."""
-    d = scored.filter(F.col(entity).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    s = F.col(score).cast("double")
-    aggs = [F.sort_array(F.collect_list(s), asc=False).alias("v"), F.stddev_pop(s).alias("std"), F.avg(s).alias("mean"), F.percentile(s, F.lit(0.5)).alias("median"), *[F.percentile(s, F.lit(q)).alias(f"q{round(q * 100):02d}") for q in QUANTILES]]
+    """One row per entity with its 54 statistics, feat__*, (and label, the highest of its rows).
+
+    Unusable scores count as 0, absent top scores too. Rows without an entity take no part; an empty table gives an empty one.
+    """
+    rows = scored.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), finite(F.col(score)).alias("s"), *([F.col(label).alias("label")] if label else []))
+    steps = rows.groupBy("entity", "s").agg(F.count(F.lit(1)).alias("c"), *([F.max("label").alias("label")] if label else []))
+    steps = write_table(running(steps, [F.asc("entity"), F.asc("s")], sums={"upto": F.col("c")}), "entity-steps").df
+    firsts = [F.sum("c").alias("n"), F.max("s").alias("top"), F.min("s").alias("low"), (F.sum(F.col("c") * F.col("s")) / F.sum("c")).alias("mean"), F.min(F.col("upto") - F.col("c")).alias("start"), F.count(F.lit(1)).alias("steps")]
+    first = steps.groupBy("entity").agg(*firsts, *([F.max("label").alias("label")] if label else []))
+    d = salted_join(steps.drop("label"), first.drop("steps", "label"), "entity", hot_keys(first, "entity", n="steps"), F.col("s"))
+    s, c, n = F.col("s"), F.col("c"), F.col("n")
+    begin, end = F.col("upto") - c - F.col("start"), F.col("upto") - F.col("start")
+    at = lambda p: F.max(F.when((begin <= p) & (p < end), s))  # noqa: E731  the value at an ascending position
+    mass = F.greatest(s, F.lit(0.0))
+    aggs = [F.sum(c * mass).alias("mass"), F.sum(F.when(mass > 0, c * mass * F.log(mass))).alias("mlogm"), F.sum(c * mass * mass).alias("m2"), F.sqrt(F.sum(c * (s - F.col("mean")) * (s - F.col("mean"))) / F.sum(c)).alias("std")]
+    aggs += [at(n - k).alias(f"t{k}") for k in (1, 2, 3, 4, 5, 10)]
+    for q in QUANTILES:
+        h = F.lit(q) * (n - 1)
+        aggs += [at(F.floor(h)).alias(f"a{round(q * 100)}"), at(F.ceil(h)).alias(f"b{round(q * 100)}")]
+    for t in TEMPERATURES:
+        z = F.greatest(F.lit(-60.0), (s - F.col("top")) / t)
+        aggs += [F.sum(c * F.exp(z)).alias(f"e{round(t * 100)}"), F.sum(c * F.exp(z) * z).alias(f"z{round(t * 100)}")]
+    aggs += [F.sum(F.when(s >= f * F.col("top"), c).otherwise(0)).cast("double").alias(f"ge{round(f * 100)}") for f in FRACTIONS]
+    g = d.groupBy("entity", "n", "top", "low", "mean").agg(*aggs)
     if label:
-        aggs.append(F.max(label).alias("label"))
-    g = d.groupBy(F.col(entity).alias("entity")).agg(*aggs)
-    v, n = F.col("v"), F.size("v").cast("double")
-    at = lambda k: F.coalesce(F.get(v, F.lit(k - 1)), F.lit(0.0))
-    top, second = at(1), at(2)
-    low = F.element_at(v, -1)
-    h, hn, hhi = mass_entropy(v, n)
-    mass = total(F.transform(v, lambda x: F.greatest(x, F.lit(0.0))))
+        g = g.join(first.select("entity", "label"), "entity")
+
+    n, top, low, mean, std = F.col("n").cast("double"), F.col("top"), F.col("low"), F.col("mean"), F.col("std")
+    t = {k: F.coalesce(F.col(f"t{k}"), F.lit(0.0)) for k in (1, 2, 3, 4, 5, 10)}
+    over = F.greatest(F.abs(top), F.lit(TINY))
+    quantile = {}
+    for q in QUANTILES:
+        lo, hi, k = F.col(f"a{round(q * 100)}"), F.col(f"b{round(q * 100)}"), F.lit(q) * (F.col("n") - 1)
+        quantile[q] = lo + (hi - lo) * (k - F.floor(k))
+    massive = F.col("mass") > TINY
+    share = lambda k: F.when(massive, sum((F.greatest(t[j], F.lit(0.0)) for j in range(2, k + 1)), F.greatest(t[1], F.lit(0.0))) / F.col("mass")).otherwise(F.least(F.lit(float(k)), n) / n)
+    entropy = F.when(massive, F.log("mass") - F.coalesce(F.col("mlogm"), F.lit(0.0)) / F.col("mass")).otherwise(F.log(n))
+    hhi = F.when(massive, F.col("m2") / (F.col("mass") * F.col("mass"))).otherwise(1.0 / n)
+    scaled = lambda h: F.when(n > 1, h / F.log(n)).otherwise(F.lit(0.0))
     cols = {
-        "count": n, "min": low, "max": top, "mean": F.col("mean"), "median": F.col("median"), "std": F.col("std"), "range": top - low,
-        "cv": F.col("std") / F.greatest(F.abs("mean"), F.lit(TINY)), **{f"q{round(q * 100):02d}": F.col(f"q{round(q * 100):02d}") for q in QUANTILES},
-        "top1": top, "top2": second, "top3": at(3), "top5": at(5), "top10": at(10),
-        "gap12": top - second, "gap13": top - at(3), "gap15": top - at(5), "gap_mean": top - F.col("mean"), "gap_median": top - F.col("median"),
-        "rel_gap12": (top - second) / F.greatest(F.abs(top), F.lit(TINY)), "rel_gap13": (top - at(3)) / F.greatest(F.abs(top), F.lit(TINY)),
-        "ratio21": second / F.greatest(F.abs(top), F.lit(TINY)), "ratio31": at(3) / F.greatest(F.abs(top), F.lit(TINY)), "ratio_mean": F.col("mean") / F.greatest(F.abs(top), F.lit(TINY)),
-        "top_z": (top - F.col("mean")) / F.greatest("std", F.lit(TINY)), "second_z": (second - F.col("mean")) / F.greatest("std", F.lit(TINY)),
-        "mass_entropy": h, "mass_entropy_norm": hn, "hhi": hhi, "effective_n": 1.0 / F.greatest(hhi, F.lit(TINY)),
+        "count": n, "max": top, "min": low, "mean": mean, "median": quantile[0.50], "std": std, "range": top - low, "cv": std / F.greatest(F.abs(mean), F.lit(TINY)),
+        **{f"q{round(q * 100)}": v for q, v in quantile.items()},
+        **{f"top{k}": t[k] for k in (1, 2, 3, 5, 10)},
+        **{f"gap1{k}": top - t[k] for k in (2, 3, 5, 10)},
+        **{f"relative_gap1{k}": (top - t[k]) / over for k in (2, 3, 5)},
+        **{f"top{k}_ratio": t[k] / over for k in (2, 3, 5)},
+        "top_z": (top - mean) / F.greatest(std, F.lit(TINY)), "mass_entropy": entropy, "mass_entropy_norm": scaled(entropy), "hhi": hhi, "effective_n": 1.0 / F.greatest(hhi, F.lit(TINY)),
     }
-    for t in TEMPERATURES:
-        e = soft_entropy(v, top, n, t)
-        cols[f"soft_entropy_t{round(t * 100):03d}"] = e
-        cols[f"soft_entropy_norm_t{round(t * 100):03d}"] = F.when(n > 1, e / F.log(n)).otherwise(F.lit(0.0))
-    cols["top_mass"] = F.when(mass > TINY, F.greatest(top, F.lit(0.0)) / mass).otherwise(1.0 / n)
-    for f in FRACTIONS:
-        cols[f"near_top_{round(f * 100)}"] = F.size(F.filter(v, _at_least(top * f))).cast("double")
-    cols["above_threshold"] = F.size(F.filter(v, _at_least(F.lit(threshold)))).cast("double")
-    cols["top_minus_threshold"] = top - threshold
-    cols["mean_minus_threshold"] = F.col("mean") - threshold
-    cols["second_minus_threshold"] = second - threshold
-    return g.select("entity", *([F.col("label")] if label else []), *[c.alias(f"feat__{k}") for k, c in cols.items()])
-
+    for x in TEMPERATURES:
+        e, z = F.col(f"e{round(x * 100)}"), F.col(f"z{round(x * 100)}")
+        h = F.when(n > 1, F.log(e) - z / e).otherwise(F.lit(0.0))
+        cols |= {f"soft_entropy_t{round(x * 100):03d}": h, f"soft_entropy_norm_t{round(x * 100):03d}": scaled(h)}
+    cols |= {f"top{k}_mass": share(k) for k in (1, 2, 3, 5)} | {f"count_ge_{round(f * 100):03d}top": F.col(f"ge{round(f * 100)}") for f in FRACTIONS}
+    cols |= {"max_minus_thr": top - threshold, "mean_minus_thr": mean - threshold, "min_minus_thr": low - threshold}
+    return g.select("entity", *([F.col("label")] if label else []), *[v.alias(f"feat__{k}") for k, v in cols.items()])
 
-def _at_least(limit: Column):
-    return lambda x: x >= limit
 
-
-def entity_table(scored: DataFrame, entity: str, score: str = "score", threshold: float = 0.5, label: str | None = None) -> DataFrame:
-    """Statistics and their percent ranks over all entities."""
+def entity_table(scored: DataFrame, entity: str, score: str = "score", threshold: float = 0.5, label: str | None = None, digits: int | None = None) -> DataFrame:
+    """Statistics and their percent ranks over all entities; with `digits` rounded values are ranked."""
     base = entity_statistics(scored, entity, score, threshold, label)
     feats = [c for c in base.columns if c.startswith("feat__")]
-    return base.join(pct_ranks(base, ["entity"], feats), "entity")
+    base = write_table(base, "entity-statistics").df
+    ranked = base if digits is None else base.withColumns({f: F.round(f, digits) for f in feats})
+    return base.join(pct_ranks(ranked, ["entity"], feats), "entity")
 
 
 def counterfactuals(scored: DataFrame, entity: str, score: str, label: str, threshold: float = 0.5, ratio: float = 0.5, floor: int = 20, weight: float = 0.25) -> DataFrame:
-    """Statistics of entities that have a right row, without their right rows: negatives of low weight, at most max(floor, ratio x positives), by hash."""
+    """Statistics of entities that have a right row, without their right rows: negatives of low weight, at most max(floor,
+    ratio x positives), by hash. Their percent ranks are those of `with_counterfactuals`."""
     pos = scored.filter(F.col(label) == 1).select(entity).distinct()
     n = pos.count()
     rest = scored.join(pos, entity, "left_semi").filter(F.coalesce(F.col(label), F.lit(0)) != 1)
     t = entity_statistics(rest, entity, score, threshold)
-    t = t.orderBy(F.xxhash64("entity"), "entity").limit(max(floor, int(ratio * n)))
+    t = t.orderBy(F.xxhash64("entity"), "entity").limit(max(floor, round(ratio * n)))
     return t.withColumn("label", F.lit(0)).withColumn("sample_weight", F.lit(weight)).withColumn("is_counterfactual", F.lit(True))
 
 
+def with_counterfactuals(real: DataFrame, extra: DataFrame) -> DataFrame:
+    """`real` (entity_table's output with a label) and counterfactual rows together, with group_id, sample_weight and
+    is_counterfactual. Ranks of the extra rows are read off the real ones' distribution, which they don't change."""
+    from brindle.operators.ranking import ecdf
+
+    feats = [c for c in real.columns if c.startswith("feat__")]
+    long = extra.unpivot(["entity"], feats, "feature", "value")
+    parts = None
+    for f in feats:  # one column's distinct values at a time
+        one = ecdf(long.filter(F.col("feature") == f).select("entity", "feature", "value"), "value", real.select(F.col(f).alias("r")), "r", "cdf")
+        parts = one if parts is None else parts.unionByName(one)
+    ranks = parts.groupBy("entity").pivot("feature", feats).agg(F.max("cdf")).withColumnsRenamed({f: f"rank__{f}" for f in feats})
+    cf = extra.join(ranks, "entity").withColumn("group_id", F.col("entity")).withColumn("entity", F.concat(F.lit("CF::"), "entity"))
+    own = real.withColumns({"group_id": F.col("entity"), "sample_weight": F.lit(1.0), "is_counterfactual": F.lit(False), "label": F.col("label").cast("int")})
+    return own.unionByName(cf.withColumn("label", F.col("label").cast("int")).select(own.columns))
+
+
 def v3_confidence(scored: DataFrame, entity: str, score: str = "score") -> DataFrame:
     """(entity, confidence): mean percent rank of the best score, its lead, its relative lead and its z-value."""
     r = scored.filter(F.col(entity).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).select(F.col(entity).alias("entity"), F.col(score).cast("double").alias("s"))
@@ -145,10 +174,13 @@ def gate_sweep(pairs: DataFrame, gold: DataFrame, grid: Sequence[float] = V3_GRI
 
 
 def choose_tiers(sweep: DataFrame, tiers: dict[str, float] = TIERS) -> DataFrame:
-    """(tier, gate, q, ...): for each recall floor the gate with the best precision, then F1, then fewest pairs."""
+    """(tier, gate, q, ...): for each recall floor the gate with the best F1, then precision, recall, fewest pairs and highest
+    q; where none reaches the floor, the one that loses least recall."""
     out = None
     for tier, floor in tiers.items():
-        one = sweep.filter(F.col("recall_ratio") >= floor).orderBy(F.desc("precision"), F.desc("f1"), "n", "gate", "q").limit(1).withColumn("tier", F.lit(tier))
+        ok = F.col("recall_ratio") >= floor - TINY
+        order = [F.when(ok, F.col(c)).desc_nulls_last() for c in ("f1", "precision", "recall")]
+        one = sweep.orderBy(ok.desc(), F.when(~ok, F.col("recall_ratio")).desc_nulls_last(), *order, "n", F.desc("q"), "gate").limit(1).withColumn("tier", F.lit(tier))
         out = one if out is None else out.unionByName(one)
     return out.select("tier", *sweep.columns)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -759,27 +760,47 @@ def id_fingerprint(s, d):
 # entity statistics, gates and learners
 
 
-@query(sql("SELECT src_iri AS entity, count(*)::double AS n, round(max(score), 9) AS top, round(avg(score), 9) AS mean, round(median(score), 9) AS median, round(stddev_pop(score), 9) AS std, round(quantile_cont(score, 0.25), 9) AS q25, round(quantile_cont(score, 0.9), 9) AS q90, count(*) FILTER (score >= 0.5)::double AS above FROM scored GROUP BY src_iri", "scored"))
+def _statistics_sql() -> str:
+    """All 54 statistics from an entity's sorted scores."""
+    t = lambda k: f"coalesce(v[{k}], 0)"
+    pos = "list_transform(v, lambda x: greatest(x, 0))"
+    p = f"CASE WHEN list_sum({pos}) > 1e-12 THEN list_transform(v, lambda x: greatest(x, 0) / list_sum({pos})) ELSE list_transform(v, lambda x: 1.0 / n) END"
+    cols = {"count": "n::double", "max": "v[1]", "min": "v[-1]", "mean": "m", "median": "list_median(v)", "std": "sd", "range": "v[1] - v[-1]", "cv": "sd / greatest(abs(m), 1e-12)"}
+    cols |= {f"q{round(q * 100)}": f"list_aggregate(v, 'quantile_cont', {q})" for q in entity.QUANTILES}
+    cols |= {f"top{k}": t(k) for k in (1, 2, 3, 5, 10)} | {f"gap1{k}": f"v[1] - {t(k)}" for k in (2, 3, 5, 10)}
+    cols |= {f"relative_gap1{k}": f"(v[1] - {t(k)}) / greatest(abs(v[1]), 1e-12)" for k in (2, 3, 5)} | {f"top{k}_ratio": f"{t(k)} / greatest(abs(v[1]), 1e-12)" for k in (2, 3, 5)}
+    h = "0.0 - list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-12))))"
+    cols |= {"top_z": "(v[1] - m) / greatest(sd, 1e-12)", "mass_entropy": h, "mass_entropy_norm": f"CASE WHEN n > 1 THEN ({h}) / ln(n) ELSE 0 END", "hhi": "list_sum(list_transform(p, lambda x: x * x))", "effective_n": "1 / list_sum(list_transform(p, lambda x: x * x))"}
+    for x in entity.TEMPERATURES:
+        e = f"list_transform(v, lambda x: exp(greatest(-60, (x - v[1]) / {x})))"
+        h = f"CASE WHEN n > 1 THEN 0.0 - list_sum(list_transform({e}, lambda y: y / list_sum({e}) * ln(greatest(y / list_sum({e}), 1e-15)))) ELSE 0 END"
+        cols |= {f"soft_entropy_t{round(x * 100):03d}": h, f"soft_entropy_norm_t{round(x * 100):03d}": f"CASE WHEN n > 1 THEN ({h}) / ln(n) ELSE 0 END"}
+    cols |= {f"top{k}_mass": f"list_sum(p[1:{k}])" for k in (1, 2, 3, 5)} | {f"count_ge_{round(f * 100):03d}top": f"len(list_filter(v, lambda x: x >= {f} * v[1]))::double" for f in entity.FRACTIONS}
+    cols |= {"max_minus_thr": "v[1] - 0.5", "mean_minus_thr": "m - 0.5", "min_minus_thr": "v[-1] - 0.5"}
+    one = "SELECT src_iri AS entity, max(label) AS label, list_sort(list(score), 'DESC') AS v, count(*) AS n, avg(score) AS m, stddev_pop(score) AS sd FROM {} GROUP BY src_iri"
+    return f"e AS (SELECT *, {p} AS p FROM ({one})), st AS (SELECT entity, label, {', '.join(f'({x})::double AS feat__{k}' for k, x in cols.items())} FROM e)"
+
+
+_STATS = _statistics_sql()
+_FEATS = re.findall(r"AS (feat__\w+)", _STATS)
+
+
+@query(_with(_STATS.replace("max(label) AS label", "0 AS label").format("scored"), "scored")("SELECT entity, " + ", ".join(f"round({f}, 8) AS {f}" for f in _FEATS) + " FROM st"))
 def entity_statistics(s, d):
+    """All 54 statistics of every source."""
     e = entity.entity_statistics(views.scored(s, d), "src_iri")
-    names = {"count": "n", "top1": "top", "mean": "mean", "median": "median", "std": "std", "q25": "q25", "q90": "q90", "above_threshold": "above"}
-    return e.select("entity", *[_r(F.col(f"feat__{k}"), 9).alias(v) for k, v in names.items()])
+    return e.select("entity", *[_r(F.col(c), 8).alias(c) for c in e.columns[1:]])
 
 
-_HHI = "t AS (SELECT src_iri, sum(greatest(score, 0)) AS s, count(*) AS n, max(score) AS top FROM scored GROUP BY src_iri), p AS (SELECT src_iri, n, CASE WHEN s > 1e-12 THEN greatest(score, 0) / s ELSE 1.0 / n END AS p, exp(greatest(-60, (score - top) / 0.1)) AS e FROM scored JOIN t USING (src_iri)), q AS (SELECT *, e / sum(e) OVER (PARTITION BY src_iri) AS w FROM p)"
+def _rank(f: str) -> str:
+    return f"round((rank() OVER (ORDER BY round({f}, 9)) + (count(*) OVER (PARTITION BY round({f}, 9)) - 1) / 2.0) / count(*) OVER (), 6) AS rank__{f}"
 
 
-@query(_with(_HHI, "scored")("SELECT src_iri AS entity, round(sum(p * p), 6) AS hhi, round(0.0 - sum(p * ln(greatest(p, 1e-12))), 5) AS mass_entropy, round(CASE WHEN count(*) > 1 THEN 0.0 - sum(w * ln(greatest(w, 1e-12))) ELSE 0 END, 5) AS soft FROM q GROUP BY src_iri"))
-def entity_entropies(s, d):
-    e = entity.entity_statistics(views.scored(s, d), "src_iri")
-    return e.select("entity", _r(F.col("feat__hhi")).alias("hhi"), _r(F.col("feat__mass_entropy"), 5).alias("mass_entropy"), _r(F.col("feat__soft_entropy_t010"), 5).alias("soft"))
-
-
-@query()
+@query(_with(_STATS.format("oof"), "oof")("SELECT entity, label, " + ", ".join(f"round({f}, 8) AS {f}, {_rank(f)}" for f in _FEATS) + " FROM st"))
 def entity_table(s, d):
-    """All 54 statistics and their percent ranks."""
-    t = entity.entity_table(views.oof(s, d), "src_iri", label="label")
-    return t.select("entity", "label", *[_r(F.col(c)).alias(c) for c in t.columns[2:]])
+    """All 54 statistics and their percent ranks, values that differ by less than 1e-9 tied."""
+    t = entity.entity_table(views.oof(s, d), "src_iri", label="label", digits=9)
+    return t.select("entity", "label", *[_r(F.col(c), 8 if c.startswith("feat__") else 6).alias(c) for c in t.columns[2:]])
 
 
 @query()
