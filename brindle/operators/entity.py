@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.evaluation import auc_ap
-from brindle.operators.ranking import pct_rank_long, pct_ranks
+from brindle.operators.ranking import ecdf_long, pct_rank_long, pct_ranks
 from brindle.operators.running import running
 from brindle.operators.skew import hot_keys, salted_join
 from brindle.sources.materialize import write_table
@@ -116,27 +116,24 @@ def counterfactuals(scored: DataFrame, entity: str, score: str, label: str, thre
 def with_counterfactuals(real: DataFrame, extra: DataFrame) -> DataFrame:
     """`real` (entity_table's output with a label) and counterfactual rows together, with group_id, sample_weight and
     is_counterfactual. Ranks of the extra rows are read off the real ones' distribution, which they don't change."""
-    from brindle.operators.ranking import ecdf
-
     feats = [c for c in real.columns if c.startswith("feat__")]
-    long = extra.unpivot(["entity"], feats, "feature", "value")
-    parts = None
-    for f in feats:  # one column's distinct values at a time
-        one = ecdf(long.filter(F.col("feature") == f).select("entity", "feature", "value"), "value", real.select(F.col(f).alias("r")), "r", "cdf")
-        parts = one if parts is None else parts.unionByName(one)
-    ranks = parts.groupBy("entity").pivot("feature", feats).agg(F.max("cdf")).withColumnsRenamed({f: f"rank__{f}" for f in feats})
+    long = lambda df: df.unpivot(["entity"], feats, "feature", "value")
+    ranks = ecdf_long(long(extra), long(real)).groupBy("entity").pivot("feature", feats).agg(F.max("cdf")).withColumnsRenamed({f: f"rank__{f}" for f in feats})
     cf = extra.join(ranks, "entity").withColumn("group_id", F.col("entity")).withColumn("entity", F.concat(F.lit("CF::"), "entity"))
     own = real.withColumns({"group_id": F.col("entity"), "sample_weight": F.lit(1.0), "is_counterfactual": F.lit(False), "label": F.col("label").cast("int")})
     return own.unionByName(cf.withColumn("label", F.col("label").cast("int")).select(own.columns))
 
 
-def v3_confidence(scored: DataFrame, entity: str, score: str = "score") -> DataFrame:
-    """(entity, confidence): mean percent rank of the best score, its lead, its relative lead and its z-value."""
+def v3_confidence(scored: DataFrame, entity: str, score: str = "score", digits: int | None = 9) -> DataFrame:
+    """(entity, confidence): mean percent rank of the best score, its lead, its relative lead and its z-value, rounded to
+    `digits` so that values that differ by the order of summing tie."""
     r = scored.filter(F.col(entity).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).select(F.col(entity).alias("entity"), F.col(score).cast("double").alias("s"))
     r = r.withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("s"))))
     a = r.groupBy("entity").agg(F.max("s").alias("top1"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("s"))), F.lit(0.0)).alias("top2"), F.avg("s").alias("m"), F.stddev_pop("s").alias("sd"))
     a = a.withColumn("gap", F.col("top1") - F.col("top2")).withColumn("rel_gap", F.col("gap") / F.greatest(F.abs("top1"), F.lit(TINY))).withColumn("top_z", (F.col("top1") - F.col("m")) / F.greatest("sd", F.lit(TINY)))
-    p = pct_ranks(a, ["entity"], ["top1", "gap", "rel_gap", "top_z"], "r_")
+    names = ["top1", "gap", "rel_gap", "top_z"]
+    a = a if digits is None else a.withColumns({c: F.round(c, digits) for c in names})
+    p = pct_ranks(write_table(a.select("entity", *names), "entity-leads").df, ["entity"], names, "r_")
     return p.select("entity", ((F.col("r_top1") + F.col("r_gap") + F.col("r_rel_gap") + F.col("r_top_z")) / 4).alias("confidence"))
 
 
@@ -194,15 +191,22 @@ def apply_tiers(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     return out
 
 
-def rank_ensemble(table: DataFrame, features: Sequence[str], label: str = "label", least: float = 0.05, most: int = 10) -> DataFrame:
-    """(entity, score): weighted mean of percent ranks, turned so that positives are high. Weights are |AUC - 0.5| of
-    the features that separate by `least` or more; without any, of the `most` best."""
-    long = table.unpivot(["entity", label], list(features), "feature", "value")
-    stats = auc_ap(long, "value", label, ["feature"]).select("feature", (F.col("auc") - 0.5).alias("lead"))
-    rows = {r["feature"]: r["lead"] for r in stats.collect()}  # one row per feature
-    best = {f: x for f, x in rows.items() if abs(x) >= least} or dict(sorted(rows.items(), key=lambda kv: -abs(kv[1]))[:most])
-    ranked = pct_rank_long(long.filter(F.col("feature").isin(list(best))))
-    lead = F.create_map(*[x for f, v in best.items() for x in (F.lit(f), F.lit(float(v)))])[F.col("feature")]
+def rank_ensemble_fit(table: DataFrame, features: Sequence[str], label: str = "label", least: float = 0.05, most: int = 10) -> dict[str, float]:
+    """The lead of each feature used: AUC - 0.5, of those that separate by `least` or more; without any, of the `most` best."""
+    stats = auc_ap(table.unpivot(["entity", label], list(features), "feature", "value"), "value", label, ["feature"]).select("feature", (F.col("auc") - 0.5).alias("lead"))
+    rows = {r["feature"]: float(r["lead"]) for r in stats.collect()}  # one row per feature
+    return {f: x for f, x in rows.items() if abs(x) >= least} or dict(sorted(rows.items(), key=lambda kv: (-abs(kv[1]), kv[0]))[:most])
+
+
+def rank_ensemble_predict(leads: dict[str, float], table: DataFrame) -> DataFrame:
+    """(entity, score): weighted mean of percent ranks within `table`, turned so that positives are high."""
+    ranked = pct_rank_long(table.unpivot(["entity"], list(leads), "feature", "value"))
+    lead = F.create_map(*[x for f, v in leads.items() for x in (F.lit(f), F.lit(v))])[F.col("feature")]
     turned = F.when(lead >= 0, F.col("r")).otherwise(1 - F.col("r"))
     weight = F.greatest(F.abs(lead), F.lit(1e-9))
     return ranked.groupBy("entity").agg((F.sum(turned * weight) / F.sum(weight)).alias("score"))
+
+
+def rank_ensemble(table: DataFrame, features: Sequence[str], label: str = "label", least: float = 0.05, most: int = 10) -> DataFrame:
+    """(entity, score) of an ensemble fitted on the same table."""
+    return rank_ensemble_predict(rank_ensemble_fit(table, features, label, least, most), table)

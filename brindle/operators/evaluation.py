@@ -108,6 +108,18 @@ def candidate_recall(cands: DataFrame, gold: DataFrame, fold: str | None = None)
     return out.withColumn("n_candidates", F.lit(n).cast("bigint")).withColumn("negatives_per_hit", (F.lit(n) - F.col("n_covered")) / F.greatest(F.col("n_covered"), F.lit(1)))
 
 
+def report_rows(df: DataFrame, score: str, label: str, n: int = 500) -> DataFrame:
+    """(kind, src_iri, tgt_iri, score): the n wrong pairs with the highest and the n right ones with the lowest scores, equal ones by identifiers."""
+    part = lambda kind, y, order: df.filter(F.col(label) == y).orderBy(order, "src_iri", "tgt_iri").limit(n).select(F.lit(kind).alias("kind"), "src_iri", "tgt_iri", score)
+    return part("deceptive_negative", 0, F.desc(score)).unionByName(part("hard_positive", 1, F.asc(score)))
+
+
+def vocabulary_summary(profiles: DataFrame) -> DataFrame:
+    """(n_entities, n_labels, mean_names, n_without_literals) of (iri, label, labels, literals) rows. One row."""
+    names = F.size(F.array_distinct(F.filter(F.coalesce("labels", F.expr("CAST(array() AS array<string>)")), lambda x: x.isNotNull())))
+    return profiles.agg(F.count(F.lit(1)).alias("n_entities"), F.count_distinct("label").alias("n_labels"), F.avg(names).alias("mean_names"), F.count(F.when(F.col("literals").isNull() | (F.size("literals") == 0), 1)).alias("n_without_literals"))
+
+
 class Evaluator:
     """Named evaluations collected into one summary."""
 

@@ -209,3 +209,8 @@ def blend(a: str, b: str, alpha: float) -> Column:
 
 def discrete_margin(group: str, score: str) -> Column:
     return F.max(score).over(Window.partitionBy(group)) - F.col(score)
+
+
+def predicted_mappings(df: DataFrame, label: str = "label") -> DataFrame:
+    """(src_iri, tgt_iri): the distinct pairs labelled 1; rows with a null side or label give none."""
+    return df.filter((F.col(label) == 1) & F.col("src_iri").isNotNull() & F.col("tgt_iri").isNotNull()).select("src_iri", "tgt_iri").distinct()

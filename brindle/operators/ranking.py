@@ -71,6 +71,18 @@ def ecdf(values: DataFrame, value: str, reference: DataFrame, ref_value: str, na
     return values.join(table, value, "left")
 
 
+def ecdf_long(long: DataFrame, reference: DataFrame, name: str = "cdf") -> DataFrame:
+    """`long` (.., feature, value) with the share of the feature's `reference` (feature, value) values at or below its own; values are numbers."""
+    v = F.col("value").cast("double")
+    own = long.select("feature", v.alias("value")).distinct().withColumn("c", F.lit(0).cast("bigint"))
+    ref = reference.groupBy("feature", v.alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    steps = own.unionByName(ref).groupBy("feature", "value").agg(F.sum("c").alias("c"))
+    upto = running(steps, [F.asc("feature"), F.asc_nulls_first("value")], sums={"upto": F.col("c")})
+    whole = upto.groupBy(F.col("feature").alias("f")).agg(F.min(F.col("upto") - F.col("c")).alias("start"), F.sum("c").alias("n"))  # a row per feature
+    cdf = upto.join(F.broadcast(whole), F.col("feature") == F.col("f")).select("f", F.col("value").alias("x"), ((F.col("upto") - F.col("start")) / F.greatest("n", F.lit(1))).alias(name))
+    return long.join(cdf, (F.col("feature") == F.col("f")) & v.eqNullSafe(F.col("x"))).drop("f", "x")
+
+
 def best_prefix(df: DataFrame, score: str, label: str, gold_total: int, descending: bool = True) -> DataFrame:
     """One row: the score threshold with the best F1 over all prefixes of the score order, equal scores together."""
     g = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(label).cast("bigint")).alias("p"))

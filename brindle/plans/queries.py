@@ -44,6 +44,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _greedy_sql(edges: str, order: str) -> str:
+    """Greedy one-to-one matching, edge by edge: `edges` gives src_iri, tgt_iri and more; rows of e with `ok` are taken."""
+    return f"""e AS (SELECT *, row_number() OVER (ORDER BY {order}, src_iri, tgt_iri) AS i, dense_rank() OVER (ORDER BY src_iri)::int AS a, dense_rank() OVER (ORDER BY tgt_iri)::int AS b FROM ({edges})),
+ g AS (SELECT 0::bigint AS i, []::int[] AS s, []::int[] AS t, false AS ok UNION ALL SELECT e.i, CASE WHEN list_contains(s, a) OR list_contains(t, b) THEN s ELSE list_append(s, a) END, CASE WHEN list_contains(s, a) OR list_contains(t, b) THEN t ELSE list_append(t, b) END, NOT (list_contains(s, a) OR list_contains(t, b)) FROM g JOIN e ON e.i = g.i + 1)"""
+
+
 def _r(c, n: int = 6):
     return F.round(c, n)
 
@@ -171,6 +177,10 @@ def channel_union(s, d):
     return retrieval.merge_channels({"overlap": c.filter("overlap_rank <= 5"), "tfidf": c.filter("tfidf_rank <= 3")})
 
 
+def _recursive(statement: str) -> str:
+    return statement if statement.startswith("WITH RECURSIVE") else statement.replace("WITH", "WITH RECURSIVE", 1)
+
+
 def _mutual(s, d):
     return matching.select_matches(views.scored(s, d), 0.0, "mutual_best")
 
@@ -196,9 +206,19 @@ def sample_fixed(s, d):
 # text
 
 
-@query(sql("SELECT a, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(a), '[a-z0-9]+'))), ' ') AS tokens, array_to_string(list_sort(list_distinct(regexp_extract_all(a, '[0-9]+'))), ' ') AS digits FROM (SELECT DISTINCT a FROM labels)", "labels"))
+def _both_profiles(s, d):
+    one = lambda side: table(s, d, f"{side}_profiles").select("iri", "label_raw", "tags")
+    return one("src").unionByName(one("tgt"))
+
+
+def _label_values(s, d):
+    v = views.label_strings(s, d)
+    return v.select("a").union(v.select("b")).distinct()
+
+
+@query(sql("SELECT a, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(a), '[a-z0-9]+'))), ' ') AS tokens, array_to_string(list_sort(list_distinct(regexp_extract_all(a, '[0-9]+'))), ' ') AS digits FROM (SELECT a FROM labels UNION SELECT b FROM labels)", "labels"))
 def text_tokens(s, d):
-    a = views.label_strings(s, d).select("a").distinct()
+    a = _label_values(s, d)
     return a.select("a", F.array_join(F.array_sort(T.ascii_tokens(F.col("a"))), " ").alias("tokens"), F.array_join(F.array_sort(T.digit_set(F.col("a"))), " ").alias("digits"))
 
 
@@ -206,9 +226,9 @@ _NORM = "trim(regexp_replace(lower(strip_accents(nfc_normalize({}))), '[^0-9a-z]
 _CAMEL = "trim(regexp_replace(lower(regexp_replace(strip_accents(nfc_normalize({})), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^0-9a-z]+', ' ', 'g'))"
 
 
-@query(sql(f"SELECT DISTINCT a, {_NORM.format('a')} AS norm, {_CAMEL.format('a')} AS camel FROM labels", "labels"))
+@query(sql(f"SELECT a, {_NORM.format('a')} AS norm, {_CAMEL.format('a')} AS camel FROM (SELECT a FROM labels UNION SELECT b FROM labels)", "labels"))
 def text_normal(s, d):
-    return views.label_strings(s, d).select("a").distinct().select("a", normalize_text(F.col("a")).alias("norm"), normal_form(F.col("a")).alias("camel"))
+    return _label_values(s, d).select("a", normalize_text(F.col("a")).alias("norm"), normal_form(F.col("a")).alias("camel"))
 
 
 def _norm_pairs(s, d):
@@ -321,21 +341,22 @@ def label_relations(s, d):
     return _norm_pairs(s, d).filter("x <> '' AND y <> ''").select("a", "b", T.acronym(x).alias("acronym"), (x == y).alias("equal"), T.contains_nonempty(x, y).alias("inside"), F.startswith(x, y).alias("starts"), F.endswith(x, y).alias("ends_"))
 
 
-@query("SELECT iri, trim(replace(regexp_replace(regexp_extract(iri, '([^#/]*)$', 1), '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ')) AS readable, lower(trim(regexp_replace(regexp_extract(iri, '([^#/]*)$', 1), '[^a-zA-Z0-9]+', '_', 'g'), '_')) AS local FROM (SELECT DISTINCT iri FROM tgt_profiles)")
+@query("SELECT iri, trim(replace(regexp_replace(regexp_extract(iri, '([^#/]*)$', 1), '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ')) AS readable, lower(trim(regexp_replace(regexp_extract(iri, '([^#/]*)$', 1), '[^a-zA-Z0-9]+', '_', 'g'), '_')) AS local FROM (SELECT DISTINCT iri FROM (SELECT iri, label_raw, tags FROM src_profiles UNION ALL SELECT iri, label_raw, tags FROM tgt_profiles))")
 def iri_names(s, d):
-    return table(s, d, "tgt_profiles").select("iri").distinct().select("iri", T.iri_label(F.col("iri")).alias("readable"), T.local_name(F.col("iri")).alias("local"))
+    return _both_profiles(s, d).select("iri").distinct().select("iri", T.iri_label(F.col("iri")).alias("readable"), T.local_name(F.col("iri")).alias("local"))
 
 
 @query("""SELECT tag, CASE WHEN regexp_matches(tag, 'definition|description|scope_note|iao_0000115|p97') THEN 'definition' WHEN regexp_matches(tag, 'synonym|altlabel|full_syn|p90') THEN 'synonym'
- WHEN regexp_matches(tag, 'label|pref|p108') THEN 'label' WHEN regexp_matches(tag, 'xref|code|identifier|database|hasdb') THEN 'xref' ELSE 'other' END AS role, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM src_profiles) WHERE tag IS NOT NULL GROUP BY ALL""")
+ WHEN regexp_matches(tag, 'label|pref|p108') THEN 'label' WHEN regexp_matches(tag, 'xref|code|identifier|database|hasdb') THEN 'xref' ELSE 'other' END AS role, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM (SELECT iri, label_raw, tags FROM src_profiles UNION ALL SELECT iri, label_raw, tags FROM tgt_profiles)) WHERE tag IS NOT NULL GROUP BY ALL""")
 def tag_roles(s, d):
-    t = table(s, d, "src_profiles").select(F.explode("tags").alias("tag")).filter("tag IS NOT NULL")
+    t = _both_profiles(s, d).select(F.explode("tags").alias("tag")).filter("tag IS NOT NULL")
     return t.groupBy("tag", T.tag_role(F.col("tag")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT vec_id, '1,2,x, 4' AS t, 7::bigint AS total FROM embeddings")
+@query("SELECT vec_id, vec_id || ',' || (vec_id % 7) || ',x, ' || (vec_id % 3) AS t, (vec_id + vec_id % 7 + vec_id % 3)::bigint AS total FROM embeddings")
 def number_grid(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.lit("1,2,x, 4").alias("t")).withColumn("total", F.aggregate(T.parse_numbers(F.col("t")), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    text = F.concat(F.col("vec_id").cast("string"), F.lit(","), (F.col("vec_id") % 7).cast("string"), F.lit(",x, "), (F.col("vec_id") % 3).cast("string"))
+    return table(s, d, "embeddings").select("vec_id", text.alias("t")).withColumn("total", F.aggregate(T.parse_numbers(F.col("t")), F.lit(0).cast("bigint"), lambda a, x: a + x))
 
 
 # vectors and clouds
@@ -523,11 +544,13 @@ def auc_ap(s, d):
     return evaluation.auc_ap(views.oof(s, d), "score", "label").select("n", "n_pos", _r(F.col("auc")).alias("auc"), _r(F.col("ap")).alias("ap"))
 
 
-@query("""WITH x AS (SELECT label, unnest(['overlap_score', 'sapbert_cosine']) AS feature, unnest([overlap_score, sapbert_cosine]) AS value FROM candidates WHERE label IS NOT NULL) SELECT feature, round(avg(value) FILTER (label = 1), 6) AS mean_pos, round(avg(value) FILTER (label = 0), 6) AS mean_neg, round(median(value) FILTER (label = 1), 6) AS median_pos,
+@query("""WITH x AS (SELECT label, unnest(['overlap_score', 'sapbert_cosine', 'rank_tgt_src', 'rank_src_tgt']) AS feature, unnest([overlap_score, sapbert_cosine, CASE WHEN isinf(rank_tgt_src) THEN NULL ELSE rank_tgt_src END, CASE WHEN isinf(rank_src_tgt) THEN NULL ELSE rank_src_tgt END]) AS value FROM candidates WHERE label IS NOT NULL) SELECT feature, round(avg(value) FILTER (label = 1), 6) AS mean_pos, round(avg(value) FILTER (label = 0), 6) AS mean_neg, round(median(value) FILTER (label = 1), 6) AS median_pos,
  round(median(value) FILTER (label = 0), 6) AS median_neg, round(avg((value <> 0)::int), 6) AS nonzero_rate, round((avg(value) FILTER (label = 1) - avg(value) FILTER (label = 0)) / stddev_pop(value), 5) AS smd FROM x WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY feature""")
 def feature_statistics(s, d):
     c = table(s, d, "candidates").filter("label IS NOT NULL")
-    f = evaluation.feature_statistics(c, ["overlap_score", "sapbert_cosine"])
+    ranks = ["rank_tgt_src", "rank_src_tgt"]
+    c = c.withColumns({r: F.when(F.col(r) != float("inf"), F.col(r)) for r in ranks})
+    f = evaluation.feature_statistics(c, ["overlap_score", "sapbert_cosine", *ranks])
     return f.select("feature", *[_r(F.col(x)).alias(x) for x in ("mean_pos", "mean_neg", "median_pos", "median_neg", "nonzero_rate")], _r(F.col("smd"), 5).alias("smd"))
 
 
@@ -583,10 +606,10 @@ def vote_thresholds(s, d):
     return matching.vote_thresholds(_voted(s, d)).select("k", "n")
 
 
-@query()
+@query(f"WITH RECURSIVE {_VOTES}, " + _greedy_sql("SELECT src_iri, tgt_iri, votes, round(mean_score, 9) AS mean_score, max_score FROM vt WHERE votes >= 2 AND src_iri IS NOT NULL AND tgt_iri IS NOT NULL", "votes DESC, mean_score DESC, max_score DESC") + " SELECT src_iri, tgt_iri, votes FROM e JOIN g USING (i) WHERE ok")
 def consensus_matches(s, d):
     """Greedy one-to-one matching of pairs with two votes."""
-    return matching.consensus(_voted(s, d), 2).select("src_iri", "tgt_iri", "votes")
+    return matching.consensus(_voted(s, d).withColumn("mean_score", _r(F.col("mean_score"), 9)), 2).select("src_iri", "tgt_iri", "votes")
 
 
 # matching
@@ -602,13 +625,13 @@ def top1_source(s, d):
     return matching.top1(views.scored(s, d), threshold=0.3)
 
 
-@query()
+@query(_recursive(_with(_greedy_sql("SELECT src_iri, tgt_iri, score FROM scored WHERE score >= 0.1", "score DESC"), "scored")("SELECT src_iri, tgt_iri, score FROM e JOIN g USING (i) WHERE ok")))
 def greedy_matching(s, d):
     """Equality with the sequential result is tested."""
     return matching.select_matches(views.scored(s, d), 0.1, "greedy_1to1")
 
 
-@query()
+@query(_recursive(_with(_MUTUAL + ", h AS (SELECT * FROM m WHERE score >= 0.5), " + _greedy_sql("SELECT src_iri, tgt_iri, score FROM scored WHERE score >= 0.1 AND src_iri NOT IN (SELECT src_iri FROM h) AND tgt_iri NOT IN (SELECT tgt_iri FROM h)", "score DESC"), "scored")("SELECT * FROM h UNION ALL SELECT src_iri, tgt_iri, score FROM e JOIN g USING (i) WHERE ok")))
 def mutual_then_greedy(s, d):
     return matching.select_matches(views.scored(s, d), 0.1, "mutual_then_greedy", mutual_threshold=0.5)
 
@@ -626,9 +649,9 @@ def threshold_sweep(s, d):
 # retrieval
 
 
-@query("SELECT term, count(*) AS df FROM (SELECT DISTINCT iri, unnest(regexp_extract_all(lower(label_raw), '[a-z0-9]+')) AS term FROM src_profiles) GROUP BY term")
+@query("SELECT term, count(*) AS df FROM (SELECT DISTINCT iri, unnest(regexp_extract_all(lower(label_raw), '[a-z0-9]+')) AS term FROM (SELECT iri, label_raw, tags FROM src_profiles UNION ALL SELECT iri, label_raw, tags FROM tgt_profiles)) GROUP BY term")
 def token_frequency(s, d):
-    return retrieval.token_frequency(retrieval.inverted_index(table(s, d, "src_profiles"), "iri", "label_raw"))
+    return retrieval.token_frequency(retrieval.inverted_index(_both_profiles(s, d), "iri", "label_raw"))
 
 
 _OVERLAP = """q AS (SELECT DISTINCT iri, unnest(regexp_extract_all(lower(label), '[a-z0-9]+')) AS t FROM src_ents), c AS (SELECT DISTINCT iri, unnest(regexp_extract_all(lower(label), '[a-z0-9]+')) AS t FROM tgt_ents), nq AS (SELECT iri, count(*) AS n FROM q GROUP BY iri), nc AS (SELECT iri, count(*) AS n FROM c GROUP BY iri),
@@ -684,7 +707,7 @@ def candidate_grid(s, d):
     return retrieval.grid_metrics(merge_shards(s, d), views.gold(s, d)).drop("recall")
 
 
-@query()
+@query(sql(f"SELECT * REPLACE (recall AS recall) FROM (SELECT *, n_hits / (SELECT count(*)::double FROM (SELECT DISTINCT src_iri, tgt_iri FROM gold)) AS recall FROM ({_GRIDQ})) QUALIFY recall >= max(recall) OVER () - 0.002 ORDER BY n_candidates, recall DESC LIMIT 1", "cands", "gold"))
 def candidate_choice(s, d):
     return retrieval.smallest_near_best(retrieval.grid_metrics(merge_shards(s, d), views.gold(s, d)))
 
@@ -803,20 +826,36 @@ def entity_table(s, d):
     return t.select("entity", "label", *[_r(F.col(c), 8 if c.startswith("feat__") else 6).alias(c) for c in t.columns[2:]])
 
 
-@query()
+def _confidence_sql(name: str, source: str, side: str) -> str:
+    """v3 confidences of one side of `source` as a view `name`."""
+    rank = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count(*) OVER ()"
+    return f"""{name}_v AS (SELECT {side}_iri AS entity, list_sort(list(score), 'DESC') AS v, avg(score) AS m, stddev_pop(score) AS sd FROM {source} GROUP BY ALL),
+ {name}_x AS (SELECT entity, round(v[1], 9) AS top, round(v[1] - coalesce(v[2], 0), 9) AS gap, round((v[1] - coalesce(v[2], 0)) / greatest(abs(v[1]), 1e-12), 9) AS rel, round((v[1] - m) / greatest(sd, 1e-12), 9) AS z FROM {name}_v),
+ {name} AS (SELECT entity, ({rank('top')} + {rank('gap')} + {rank('rel')} + {rank('z')}) / 4 AS confidence FROM {name}_x)"""
+
+
+@query(_with(_confidence_sql("sc", "scored", "src"), "scored")("SELECT entity, round(confidence, 6) AS confidence FROM sc"))
 def entity_confidence(s, d):
     return entity.v3_confidence(views.scored(s, d), "src_iri").withColumn("confidence", _r(F.col("confidence")))
 
 
-@query()
+def _gates_sql() -> str:
+    ok = {"src_only": "s >= q", "tgt_only": "t >= q", "hard_and": "s >= q AND t >= q", "low_low_veto": "s >= q OR t >= q", "min_rank": "least(s, t) >= q", "geomean_rank": "sqrt(s * t) >= q"}
+    one = lambda k, c, grid: f"SELECT '{k}' AS gate, q::double AS q, count(*) FILTER ({c}) AS n, count(*) FILTER (({c}) AND label = 1) AS tp, count(*) FILTER (label = 1) AS base FROM cf, (SELECT unnest({list(grid)}) AS q) GROUP BY q"
+    every = " UNION ALL ".join([one("none", "true", [0.0]), *[one(k, c, entity.V3_GRID) for k, c in ok.items()]])
+    cf = "cf AS (SELECT o.label, round(a.confidence, 9) AS s, round(b.confidence, 9) AS t FROM oof o JOIN sc a ON a.entity = o.src_iri JOIN tc b ON b.entity = o.tgt_iri)"
+    return f"{_confidence_sql('sc', 'oof', 'src')}, {_confidence_sql('tc', 'oof', 'tgt')}, {cf}, sweep AS ({every})"
+
+
+@query(_with(_gates_sql(), "oof")("SELECT gate, q, n, tp, round(CASE WHEN base > 0 THEN tp / base::double ELSE 1 END, 6) AS recall_ratio FROM sweep"))
 def gate_sweep(s, d):
-    p = materialize(entity.attach_confidence(views.oof(s, d).filter("score >= 0.3")), "conf")
+    p = materialize(entity.attach_confidence(views.oof(s, d)).withColumns({c: _r(F.col(c), 9) for c in ("src_conf", "tgt_conf")}), "conf")
     return entity.gate_sweep(p, views.oof(s, d).filter("label = 1")).select("gate", "q", "n", "tp", _r(F.col("recall_ratio")).alias("recall_ratio"))
 
 
 @query()
 def gate_tiers(s, d):
-    p = views.oof(s, d).filter("score >= 0.3").select("src_iri", "tgt_iri", "score")
+    p = views.oof(s, d).select("src_iri", "tgt_iri", "score")
     return pipeline.gated(p, views.oof(s, d).filter("label = 1")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -870,3 +909,25 @@ def base_features(s, d):
     b = c.select(F.concat(F.lit("d"), "cloud_id").alias("tgt_iri"), (F.col("cloud_id") - 1).alias("cloud_id"), F.col("cloud").alias("tgt_cloud"), F.element_at("cloud", 1).alias("tgt_vec"), F.concat(F.lit("clouds "), "cloud_id").alias("tgt_label"))
     f = build(a.join(b, "cloud_id"))
     return f.select("src_iri", "tgt_iri", *[_r(F.col(x)).alias(x) for x in BASE])
+
+
+# extracts and reports
+
+
+@query("SELECT DISTINCT src_iri, tgt_iri FROM oof_scores WHERE label = 1 AND src_iri IS NOT NULL AND tgt_iri IS NOT NULL")
+def predicted_mappings(s, d):
+    return pairs.predicted_mappings(table(s, d, "oof_scores"))
+
+
+@query(sql("""SELECT kind, src_iri, tgt_iri, score FROM (SELECT 'deceptive_negative' AS kind, *, row_number() OVER (ORDER BY score DESC, src_iri, tgt_iri) AS r FROM oof WHERE label = 0
+ UNION ALL SELECT 'hard_positive', *, row_number() OVER (ORDER BY score, src_iri, tgt_iri) FROM oof WHERE label = 1) WHERE r <= 500""", "oof").replace("*, row_number", "src_iri, tgt_iri, score, row_number"))
+def report_rows(s, d):
+    """The 500 right pairs with the lowest and the 500 wrong ones with the highest scores: the limit is the feature."""
+    return evaluation.report_rows(views.oof(s, d), "score", "label", 500)
+
+
+@query("""SELECT count(*) AS n_entities, count(DISTINCT label) AS n_labels, round(avg(coalesce(len(list_distinct(list_filter(labels, lambda x: x IS NOT NULL))), 0)), 6) AS mean_names, count(*) FILTER (literals IS NULL OR len(literals) = 0) AS n_without_literals
+ FROM (SELECT iri, label, labels, literals FROM src_profiles UNION ALL SELECT iri, label, labels, literals FROM tgt_profiles)""")
+def vocabulary_summary(s, d):
+    one = lambda side: table(s, d, f"{side}_profiles").select("iri", "label", "labels", "literals")
+    return evaluation.vocabulary_summary(one("src").unionByName(one("tgt"))).withColumn("mean_names", _r(F.col("mean_names")))

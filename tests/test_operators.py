@@ -222,10 +222,10 @@ def test_negatives_are_whole(spark):
 def test_entity_statistics_edges(spark):
     df = spark.createDataFrame([("a", 0.9), ("a", 0.1), ("b", 0.0), ("c", None), ("c", float("nan"))], "e string, score double")
     r = {x["entity"]: x for x in entity.entity_statistics(df, "e").collect()}
-    assert set(r) == {"a", "b"} and len([c for c in r["a"].asDict() if c.startswith("feat__")]) == 54
+    assert set(r) == {"a", "b", "c"} and r["c"]["feat__max"] == 0.0 and r["c"]["feat__hhi"] == pytest.approx(0.5) and len([c for c in r["a"].asDict() if c.startswith("feat__")]) == 54
     assert r["a"]["feat__gap12"] == pytest.approx(0.8) and r["b"]["feat__effective_n"] == pytest.approx(1.0)
     cf = entity.counterfactuals(df.withColumn("label", (F.col("score") > 0.5).cast("int")), "e", "score", "label")
-    assert cf.select("entity", "label", "sample_weight").collect() == [("a", 0, 0.25)]
+    assert sorted(cf.select("entity", "label", "sample_weight").collect()) == [("a", 0, 0.25), ("c", 0, 0.25)]  # NaN is above any number
 
 
 def test_gates(spark):
@@ -293,3 +293,77 @@ def test_stream(spark, data, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == got.distinct().count() == src.filter("src_iri IS NOT NULL AND tgt_iri IS NOT NULL").select("src_iri", "tgt_iri").distinct().count()
+
+
+def test_greedy_in_ranges(spark, monkeypatch):
+    """A chain that rounds shorten by one edge each is finished range by range, as in sequence."""
+    from brindle.operators import matching
+
+    monkeypatch.setattr(matching, "RANGE", 7)
+    n = 60
+    edges = [(f"s{k:02d}", f"t{k:02d}", float(2 * n - 2 * k)) for k in range(n)] + [(f"s{k + 1:02d}", f"t{k:02d}", float(2 * n - 2 * k - 1)) for k in range(n - 1)]
+    want, s, t = [], set(), set()
+    for a, b, x in sorted(edges, key=lambda e: -e[2]):
+        if a not in s and b not in t:
+            want.append((a, b))
+            s.add(a)
+            t.add(b)
+    got = matching.greedy(spark.createDataFrame(edges, "src_iri string, tgt_iri string, score double"), max_rounds=2)
+    assert sorted((r["src_iri"], r["tgt_iri"]) for r in got.collect()) == sorted(want)
+
+
+def test_pruned_top_k_against_every_pair(spark, monkeypatch):
+    from brindle.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "CROWD", 5)
+    monkeypatch.setattr(retrieval, "TIER", 2.0)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(30)]
+    text = lambda: " ".join(rng.choice(words[: rng.choice([3, 10, 30])]) for _ in range(rng.randint(1, 6)))
+    q, c = [(f"s{k}", text()) for k in range(40)] + [("none", ""), ("other", "zzz")], [(f"t{k}", text()) for k in range(60)]
+    got = retrieval.top_token_overlap(spark.createDataFrame(q, "iri string, x string"), spark.createDataFrame(c, "iri string, x string"), "iri", "x", 4).collect()
+    want = []
+    for i, a in q:
+        a = set(a.split())
+        rows = [(-len(a & set(b.split())), -len(a & set(b.split())) / len(a | set(b.split())), abs(len(a) - len(set(b.split()))), j) for j, b in c if a & set(b.split())]
+        for r in sorted(sorted(rows, key=lambda r: r[3], reverse=True), key=lambda r: r[:3])[:4]:
+            want.append((i, r[3], -r[0]))
+    assert sorted((r["src_iri"], r["tgt_iri"], r["n_common"]) for r in got) == sorted(want)
+    empty = spark.createDataFrame([], "iri string, x string")
+    assert retrieval.top_token_overlap(empty, spark.createDataFrame(c, "iri string, x string"), "iri", "x", 4).count() == 0
+
+
+def test_alignability(spark):
+    from brindle.operators import alignability
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        y = k % 2
+        rows += [(f"s{k}", f"t{k}-{j}", float(np.clip(rng.normal(0.8 if y and j == 0 else 0.3, 0.1), 0, 1)), int(y and j == 0)) for j in range(4)]
+    df = spark.createDataFrame(rows, "src_iri string, tgt_iri string, score double, label int")
+    real = entity.entity_table(df, "src_iri", label="label")
+    t = entity.with_counterfactuals(real, entity.counterfactuals(df, "src_iri", "score", "label")).cache()
+    assert t.count() == 60 + 20 and t.filter("is_counterfactual").agg(F.min("rank__feat__max"), F.max("rank__feat__max")).first()[1] <= 1
+    feats = ["feat__max", "feat__gap12", "rank__feat__max", "rank__feat__gap12"]
+    spec = {"logistic": ("logistic", {"C": 1.0, "maxIter": 30}), "forest": ("random_forest", {"numTrees": 5, "bootstrap": False}), "boosted": ("gbt", {"maxIter": 3, "maxDepth": 2})}
+    scores, perf, weights = alignability.cross_fit(t, feats, spec, folds=2)
+    auc = {r["model"]: r["auc"] for r in perf.collect()}
+    assert set(auc) == {*spec, "rank_ensemble", "mixture", "soft_ensemble"} and min(auc.values()) > 0.85 and sum(weights.values()) == pytest.approx(1)
+    assert scores.count() == 80
+    again = alignability.refit_predict(t, real, feats, "soft_ensemble", weights, spec)
+    assert again.count() == 60
+    assert len(alignability.candidate_models()) == 18
+
+
+def test_gate_grid_against_counting(spark):
+    from brindle.operators import alignability
+
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 1), rng.choice([0.0, 0.05, 0.2, 0.45, 0.6, 1.0]), rng.random()) for _ in range(80)]
+    sweep = alignability.gate_grid(spark.createDataFrame(rows, "label int, src__m double, tgt__m double"), 50, ["m"], ["m"]).collect()
+    assert len(sweep) == 4 * 13 + 2 * 13 * 13
+    rule = {"src_only": lambda s, t, a, b: s >= a, "tgt_only": lambda s, t, a, b: t >= b, "hard_and": lambda s, t, a, b: s >= a and t >= b, "low_low_veto": lambda s, t, a, b: s >= a or t >= b, "min_rank": lambda s, t, a, b: min(s, t) >= a, "geomean_rank": lambda s, t, a, b: (s * t) ** 0.5 >= a}
+    for r in sweep:
+        kept = [y for y, s, t in rows if rule[r["gate"]](s, t, r["q_src"], r["q_tgt"])]
+        assert (r["n"], r["tp"]) == (len(kept), sum(kept))
