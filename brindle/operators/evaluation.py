@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.text import char_ngram_set, word_ngrams
+from brindle.functions.text import words as split_words
 from brindle.operators.ranking import best_prefix, correct_ranks
 from brindle.operators.running import running
 
@@ -108,6 +110,38 @@ def candidate_recall(cands: DataFrame, gold: DataFrame, fold: str | None = None)
     return out.withColumn("n_candidates", F.lit(n).cast("bigint")).withColumn("negatives_per_hit", (F.lit(n) - F.col("n_covered")) / F.greatest(F.col("n_covered"), F.lit(1)))
 
 
+def shared_ngrams(pairs: DataFrame, scopes: dict[str, tuple[str, str]], words: Sequence[int] = (1, 2, 3), chars: Sequence[int] = (3, 4, 5, 6)) -> DataFrame:
+    """The pairs' other columns with (scope, kind, n, gram): word and character n-grams that some text of both sides holds.
+
+    `scopes` name the two columns of arrays of normalized texts that are compared; a null array has no texts. One row
+    for each pair and gram; character n-grams have '_' for a blank.
+    """
+    texts = {c for ab in scopes.values() for c in ab}
+
+    def grams(c: str, kind: str, n: int) -> Column:
+        one = (lambda x: word_ngrams(split_words(x), n)) if kind == "word" else (lambda x: char_ngram_set(x, n))
+        return F.array_distinct(F.flatten(F.transform(F.filter(F.coalesce(F.col(c), F.expr("CAST(array() AS array<string>)")), lambda x: x.isNotNull()), one)))
+
+    rows = []
+    for scope, (a, b) in scopes.items():
+        for kind, n in [*(("word", n) for n in words), *(("char", n) for n in chars)]:
+            rows.append(F.transform(F.array_intersect(grams(a, kind, n), grams(b, kind, n)), _named(scope, kind, n)))
+    return pairs.withColumn("_g", F.explode(F.concat(*rows))).select(*[c for c in pairs.columns if c not in texts], "_g.*")
+
+
+def _named(scope: str, kind: str, n: int):
+    return lambda g: F.struct(F.lit(scope).alias("scope"), F.lit(kind).alias("kind"), F.lit(n).alias("n"), g.alias("gram"))
+
+
+def tag_presence(pairs: DataFrame, src_tags: str, tgt_tags: str) -> DataFrame:
+    """The pairs' other columns with `signal`: source::TAG, target::TAG and shared::TAG, each once a pair."""
+    clean = lambda c: F.array_distinct(F.filter(F.coalesce(F.col(c), F.expr("CAST(array() AS array<string>)")), lambda x: x.isNotNull()))
+    a, b = clean(src_tags), clean(tgt_tags)
+    named = lambda p, arr: F.transform(arr, lambda x: F.concat(F.lit(p), x))
+    signals = F.concat(named("source::", a), named("target::", b), named("shared::", F.array_intersect(a, b)))
+    return pairs.withColumn("signal", F.explode(signals)).drop(src_tags, tgt_tags)
+
+
 def report_rows(df: DataFrame, score: str, label: str, n: int = 500) -> DataFrame:
     """(kind, src_iri, tgt_iri, score): the n wrong pairs with the highest and the n right ones with the lowest scores, equal ones by identifiers."""
     part = lambda kind, y, order: df.filter(F.col(label) == y).orderBy(order, "src_iri", "tgt_iri").limit(n).select(F.lit(kind).alias("kind"), "src_iri", "tgt_iri", score)

@@ -931,3 +931,44 @@ def report_rows(s, d):
 def vocabulary_summary(s, d):
     one = lambda side: table(s, d, f"{side}_profiles").select("iri", "label", "labels", "literals")
     return evaluation.vocabulary_summary(one("src").unionByName(one("tgt"))).withColumn("mean_names", _r(F.col("mean_names")))
+
+
+def _profile_pairs(s, d, *columns):
+    """Labelled candidate pairs with array columns of both profiles; of a re-exported profile the row loaded first."""
+    c = views.cands(s, d).filter("label IS NOT NULL").groupBy("src_iri", "tgt_iri").agg(F.max("label").alias("label"))
+    for side in ("src", "tgt"):
+        p = ranking.keep_first(table(s, d, f"{side}_profiles").filter("iri IS NOT NULL").select("iri", "loaded_at", *columns), ["iri"], [F.asc("loaded_at"), F.asc(F.to_json(F.struct(*columns)))])
+        c = c.join(p.select(F.col("iri").alias(f"{side}_iri"), *[F.col(x).alias(f"{side}_{x}") for x in columns]), f"{side}_iri")
+    return c
+
+
+def _signal_sql(rows: str, keys: str) -> str:
+    return f"SELECT {keys}, count(*) FILTER (label = 1) AS n_true, count(*) FILTER (label = 0) AS n_false FROM ({rows}) GROUP BY ALL"
+
+
+_PROFILED = """lp AS (SELECT src_iri, tgt_iri, max(label) AS label FROM cands WHERE label IS NOT NULL GROUP BY ALL), pf AS (SELECT 'src' AS side, iri, label_raw, tags FROM (SELECT DISTINCT iri, label_raw, tags FROM src_profiles) UNION ALL SELECT 'tgt', iri, label_raw, tags FROM (SELECT DISTINCT iri, label_raw, tags FROM tgt_profiles))"""
+_GRAMS = """lb AS (SELECT iri, trim(regexp_replace(lower(strip_accents(nfc_normalize(label_raw))), '[^0-9a-z]+', ' ', 'g')) AS x FROM (SELECT DISTINCT iri, label_raw FROM pf WHERE label_raw IS NOT NULL)), ws AS (SELECT iri, x, list_filter(string_split(x, ' '), lambda w: w <> '') AS w, replace(x, ' ', '_') AS c FROM lb),
+ gr AS (SELECT DISTINCT iri, 'word' AS kind, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM ws, (SELECT unnest([1, 2, 3]) AS n) UNION ALL SELECT DISTINCT iri, 'char', n, unnest(list_transform(range(1, length(c) - n + 2), lambda i: substr(c, i, n))) FROM ws, (SELECT unnest([3, 4, 5, 6]) AS n))"""
+
+
+@query(_with(_PROFILED + ", " + _GRAMS, "cands")(_signal_sql("SELECT l.label, 'label' AS scope, a.kind, a.n, a.gram FROM lp l JOIN gr a ON a.iri = l.src_iri JOIN gr b ON b.iri = l.tgt_iri AND b.kind = a.kind AND b.n = a.n AND b.gram = a.gram", "scope, kind, n, gram")))
+def ngram_signals(s, d):
+    """How often right and wrong pairs share each word or character n-gram of their labels."""
+    p = _profile_pairs(s, d, "label_raw").select("label", *[F.when(F.col(f"{x}_label_raw").isNotNull(), F.array(normalize_text(F.col(f"{x}_label_raw")))).alias(f"{x}_texts") for x in ("src", "tgt")])
+    g = evaluation.shared_ngrams(p, {"label": ("src_texts", "tgt_texts")})
+    return g.groupBy("scope", "kind", "n", "gram").agg(F.count(F.when(F.col("label") == 1, 1)).alias("n_true"), F.count(F.when(F.col("label") == 0, 1)).alias("n_false"))
+
+
+@query()
+def name_signals(s, d):
+    """The same over all names of both sides, the labels."""
+    p = _profile_pairs(s, d, "labels").select("label", *[F.transform(f"{x}_labels", F.lower).alias(f"{x}_texts") for x in ("src", "tgt")])
+    g = evaluation.shared_ngrams(p, {"all_labels": ("src_texts", "tgt_texts")}, words=(1, 2, 3), chars=())
+    return g.groupBy("scope", "kind", "n", "gram").agg(F.count(F.when(F.col("label") == 1, 1)).alias("n_true"), F.count(F.when(F.col("label") == 0, 1)).alias("n_false"))
+
+
+@query(_with(_PROFILED + ", tg AS (SELECT DISTINCT side, iri, unnest(tags) AS tag FROM pf), ts AS (SELECT l.src_iri, l.tgt_iri, l.label, a.tag AS s, NULL AS t FROM lp l JOIN tg a ON a.iri = l.src_iri AND a.side = 'src' WHERE a.tag IS NOT NULL), tt AS (SELECT l.src_iri, l.tgt_iri, l.label, b.tag AS t FROM lp l JOIN tg b ON b.iri = l.tgt_iri AND b.side = 'tgt' WHERE b.tag IS NOT NULL)", "cands")(_signal_sql("SELECT label, 'source::' || s AS signal FROM ts UNION ALL SELECT label, 'target::' || t FROM tt UNION ALL SELECT ts.label, 'shared::' || s FROM ts JOIN tt ON ts.src_iri = tt.src_iri AND ts.tgt_iri = tt.tgt_iri AND ts.s = tt.t", "signal")))
+def tag_signals(s, d):
+    """How often right and wrong pairs have each tag on one side or on both."""
+    p = _profile_pairs(s, d, "tags").select("label", "src_tags", "tgt_tags")
+    return evaluation.tag_presence(p, "src_tags", "tgt_tags").groupBy("signal").agg(F.count(F.when(F.col("label") == 1, 1)).alias("n_true"), F.count(F.when(F.col("label") == 0, 1)).alias("n_false"))
