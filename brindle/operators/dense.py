@@ -6,11 +6,11 @@ one task as two matrices, which keeps k rows a query. No pair is ever a row of a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.vector import l2_normalize
@@ -65,6 +65,30 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+# Where a pair may come from, and the threshold of lexical likeness.
+BRICKS = ("brick_embedding_src", "brick_embedding_tgt", "brick_overlap", "brick_tfidf")
+LEX_HIGH = 0.90
+
+
+def brick_features(pairs: DataFrame, src_vectors: DataFrame, tgt_vectors: DataFrame, same_name: Column, likeness: Sequence[str] = ()) -> DataFrame:
+    """`pairs` with bio_l2_sim, 1 / (1 + distance) of both vectors (an absent vector is zero), its rank from each side (ties by
+    identifier), brick_lex_exact_norm, brick_consensus (found by two of BRICKS or more) and brick_lex_high (the
+    same name, or one of the `likeness` columns at LEX_HIGH or more). Absent BRICKS columns count as 0."""
+    a, b = src_vectors.select(F.col("iri").alias("src_iri"), F.col("vec").alias("_a")), tgt_vectors.select(F.col("iri").alias("tgt_iri"), F.col("vec").alias("_b"))
+    d = pairs.join(a, "src_iri", "left").join(b, "tgt_iri", "left")
+    square = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.pow(F.coalesce(x.cast("double"), F.lit(0.0)) - F.coalesce(y.cast("double"), F.lit(0.0)), 2)), F.lit(0.0), lambda s, x: s + x)
+    one = lambda c: F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    d = d.withColumn("bio_l2_sim", 1 / (1 + F.sqrt(F.coalesce(square, one("_a"), one("_b"), F.lit(0.0))))).drop("_a", "_b")
+    d = d.withColumn("bio_l2_rank_src", F.row_number().over(Window.partitionBy("src_iri").orderBy(F.desc("bio_l2_sim"), "tgt_iri")))
+    d = d.withColumn("bio_l2_rank_tgt", F.row_number().over(Window.partitionBy("tgt_iri").orderBy(F.desc("bio_l2_sim"), "src_iri")))
+    found = sum((F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in BRICKS if c in pairs.columns), F.lit(0))
+    exact = F.coalesce(same_name, F.lit(False))
+    high = exact
+    for c in likeness:
+        high = high | F.coalesce(F.col(c) >= LEX_HIGH, F.lit(False))
+    return d.withColumns({"brick_lex_exact_norm": exact.cast("int"), "brick_consensus": (found >= 2).cast("int"), "brick_lex_high": high.cast("int")})
+
+
 def reverse_hits(forward: DataFrame, backward: DataFrame) -> DataFrame:
     """Pairs found from both sides, scored by the lower score. backward: (src_iri: a target, tgt_iri: a source, ...)."""
     b = backward.select(F.col("tgt_iri").alias("src_iri"), F.col("src_iri").alias("tgt_iri"), F.col("score").alias("back"), F.col("rank").alias("rank_tgt_src"))

@@ -422,7 +422,28 @@ def nearest_vectors(s, d):
     return n.select("src_iri", "tgt_iri", _r(F.col("score"), 5).alias("score"), "rank")
 
 
-@query()
+_L2 = "round(1 / (1 + list_distance(x.e, y.e)), 9)"
+
+
+@query(f"""WITH v AS (SELECT 'v' || vec_id AS iri, vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT x.iri AS src_iri, y.iri AS tgt_iri, {_L2} AS c FROM v x, v y WHERE x.vec_id % 2 = 0 AND y.vec_id % 2 = 1)
+ SELECT src_iri, tgt_iri, round(c, 5) AS score, row_number() OVER (PARTITION BY src_iri ORDER BY c DESC, tgt_iri)::int AS rank FROM p QUALIFY rank <= 5""")
+def nearest_by_distance(s, d):
+    n = dense.nearest(views.vectors(s, d, 0), views.vectors(s, d, 1), 5, metric="l2")
+    return n.select("src_iri", "tgt_iri", _r(F.col("score"), 5).alias("score"), "rank")
+
+
+@query(f"""WITH v AS (SELECT 'v' || vec_id AS iri, vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT x.iri AS src_iri, y.iri AS tgt_iri, {_L2} AS c, (y.vec_id - x.vec_id IN (1, 3))::int + (y.vec_id - x.vec_id IN (3, 5))::int >= 2 AS two FROM v x JOIN v y ON y.vec_id - x.vec_id IN (1, 3, 5, 7, 9) WHERE x.vec_id % 2 = 0)
+ SELECT src_iri, tgt_iri, round(c, 5) AS bio_l2_sim, row_number() OVER (PARTITION BY src_iri ORDER BY c DESC, tgt_iri)::int AS bio_l2_rank_src, row_number() OVER (PARTITION BY tgt_iri ORDER BY c DESC, src_iri)::int AS bio_l2_rank_tgt, two::int AS brick_consensus, (src_iri = tgt_iri)::int AS brick_lex_high FROM p""")
+def brick_features(s, d):
+    """Distances, ranks and flags of pairs of neighbouring vectors, some found by two ways."""
+    v = table(s, d, "embeddings").select("vec_id", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 7, 9)])).alias("k")).filter("vec_id % 2 = 0")
+    p = v.select(F.concat(F.lit("v"), "vec_id").alias("src_iri"), F.concat(F.lit("v"), F.col("vec_id") + F.col("k")).alias("tgt_iri"), F.col("k").isin(1, 3).alias("brick_overlap"), F.col("k").isin(3, 5).alias("brick_tfidf"))
+    b = dense.brick_features(p.join(views.vectors(s, d, 1).select(F.col("iri").alias("tgt_iri")), "tgt_iri", "left_semi"), views.vectors(s, d, 0), views.vectors(s, d, 1), F.col("src_iri") == F.col("tgt_iri"))
+    return b.select("src_iri", "tgt_iri", _r(F.col("bio_l2_sim"), 5).alias("bio_l2_sim"), "bio_l2_rank_src", "bio_l2_rank_tgt", "brick_consensus", "brick_lex_high")
+
+
+@query("""WITH v AS (SELECT 'v' || vec_id AS iri, vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT x.iri AS src_iri, y.iri AS tgt_iri, round(list_cosine_similarity(x.e, y.e), 9) AS c FROM v x, v y WHERE x.vec_id % 2 = 0 AND y.vec_id % 2 = 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY src_iri ORDER BY c DESC, tgt_iri)::int AS rank_src_tgt, row_number() OVER (PARTITION BY tgt_iri ORDER BY c DESC, src_iri)::int AS rank_tgt_src FROM p) SELECT src_iri, tgt_iri, round(c, 5) AS score, rank_src_tgt, rank_tgt_src FROM r WHERE rank_src_tgt <= 5 AND rank_tgt_src <= 5""")
 def mutual_vectors(s, d):
     """Pairs found from both sides."""
     return pipeline.align_by_vectors(views.vectors(s, d, 0), views.vectors(s, d, 1), 5).withColumn("score", _r(F.col("score"), 5))
@@ -678,7 +699,8 @@ def tfidf_words(s, d):
     return _word_tfidf(s, d).withColumn("weight", _r(F.col("weight")))
 
 
-@query()
+@query(_with("""docs AS (SELECT * FROM src_ents UNION ALL SELECT * FROM tgt_ents), w AS (SELECT iri, ' ' || unnest(list_filter(regexp_split_to_array(lower(label), '\\s+'), lambda w: w <> '')) || ' ' AS w FROM docs), g AS (SELECT iri, unnest(list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n))) AS term FROM w, (SELECT unnest([3, 4, 5]) AS n)),
+ tf AS (SELECT iri, term, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 250000), x AS (SELECT iri, term, tf * (ln((1.0 + (SELECT count(*) FROM docs)) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term))""", "src_ents", "tgt_ents")("SELECT iri, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY iri)), 6) AS weight FROM x"))
 def tfidf_chars(s, d):
     docs = views.ents(s, d, "src").unionByName(views.ents(s, d, "tgt"))
     return retrieval.tfidf(docs, "iri", "label", retrieval.terms_char(3, 5), min_df=2, max_features=250_000).withColumn("weight", _r(F.col("weight")))
@@ -691,7 +713,10 @@ def top_tfidf(s, d):
     return t.select("src_iri", "tgt_iri", _r(F.col("score"), 5).alias("score"))
 
 
-@query()
+@query(_with("""l AS (SELECT src_iri, tgt_iri, min(src_label) AS a, min(tgt_label) AS b FROM cands GROUP BY ALL), p AS (SELECT src_iri, tgt_iri, list_distinct(regexp_extract_all(lower(a), '[a-z0-9]+')) AS ta, list_distinct(regexp_extract_all(lower(b), '[a-z0-9]+')) AS tb FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+ q AS (SELECT *, list_intersect(ta, tb) AS cm, list_sort(list_filter(ta, lambda x: regexp_matches(x, '^[0-9]+$'))) AS da, list_sort(list_filter(tb, lambda x: regexp_matches(x, '^[0-9]+$'))) AS db FROM p), f AS (SELECT * FROM q WHERE len(cm) > 0 AND (len(da) = 0 OR len(db) = 0 OR len(list_intersect(da, db)) > 0)),
+ d AS (SELECT term, count(DISTINCT iri) AS df FROM (SELECT iri, unnest(regexp_extract_all(lower(label_raw), '[a-z0-9]+')) AS term FROM tgt_profiles) GROUP BY term), r AS (SELECT src_iri, tgt_iri, avg(1 / log2(df + 2)) AS rare FROM (SELECT src_iri, tgt_iri, unnest(cm) AS term FROM f) JOIN d USING (term) GROUP BY ALL),
+ z AS (SELECT f.src_iri, f.tgt_iri, round(1.5 * len(cm) + 3.0 * len(cm) / len(list_distinct(list_concat(ta, tb))) + 2.0 * coalesce(rare, 0) + CASE WHEN len(da) > 0 AND da = db THEN 2.0 ELSE 0 END + CASE WHEN list_sort(ta) = list_sort(tb) THEN 2.5 ELSE 0 END, 9) AS score FROM f LEFT JOIN r USING (src_iri, tgt_iri)), k AS (SELECT *, row_number() OVER (PARTITION BY src_iri ORDER BY score DESC, tgt_iri)::int AS rank FROM z)""", "cands")("SELECT src_iri, tgt_iri, round(score, 6) AS score, rank FROM k WHERE rank <= 80 AND (score >= 4 OR rank <= 15)"))
 def heuristic_candidates(s, d):
     p = views.label_pairs(s, d).filter("src_label IS NOT NULL AND tgt_label IS NOT NULL")
     df = retrieval.token_frequency(retrieval.inverted_index(table(s, d, "tgt_profiles"), "iri", "label_raw"))
