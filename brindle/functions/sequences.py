@@ -26,11 +26,11 @@ def _positions(a) -> dict:
     return out
 
 
-def _edits(a: str, b: str, swaps: bool) -> int:
+def _edits(a: str, b: str, swaps: bool, at: dict | None = None) -> int:
     """Edit distance by bit-parallel columns: one bit per character of a tells whether the cell below is one more or one less."""
     if not a or not b:
         return len(a) + len(b)
-    at, full, high, n = _positions(a), (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    at, full, high, n = _positions(a) if at is None else at, (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     more, less, diagonal, last = full, 0, full, 0
     for ch in b:
         eq = at.get(ch, 0)
@@ -53,9 +53,9 @@ def osa(a: str, b: str) -> int:
     return _edits(a, b, True)
 
 
-def lcs(a, b) -> int:
+def lcs(a, b, at: dict | None = None) -> int:
     """Length of the longest common subsequence of two sequences."""
-    at, full = _positions(a), (1 << len(a)) - 1
+    at, full = _positions(a) if at is None else at, (1 << len(a)) - 1
     free = full
     for x in b:
         hit = free & at.get(x, 0)
@@ -63,25 +63,23 @@ def lcs(a, b) -> int:
     return len(a) - free.bit_count()
 
 
-def jaro(a: str, b: str) -> float:
-    """Jaro similarity; 1 for two empty texts."""
+def jaro(a: str, b: str, at: dict | None = None) -> float:
+    """Jaro similarity; 1 for two empty texts. The free places of b are bits, so the nearest equal one is the lowest."""
     if not a or not b:
         return float(a == b)
+    at = _positions(b) if at is None else at
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    free = list(b)
-    of_a = []
-    taken: dict[int, str] = {}
+    near, free, hits = (1 << (reach + 1)) - 1, (1 << len(b)) - 1, []
     for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] == ch:
-                free[j] = None
-                of_a.append(ch)
-                taken[j] = ch
-                break
-    m = len(of_a)
+        hit = at.get(ch, 0) & free & near
+        if hit:
+            free ^= hit & -hit
+            hits.append(ch)
+        near = near << 1 | 1 if i < reach else near << 1
+    m = len(hits)
     if not m:
         return 0.0
-    swaps = sum(x != taken[j] for x, j in zip(of_a, sorted(taken))) // 2
+    swaps = sum([x != y for x, y in zip(hits, [y for j, y in enumerate(b) if not free >> j & 1])]) // 2
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 
@@ -184,18 +182,52 @@ SYNTAX = [
 NLP = ["nlp_bleu", *[f"nlp_rouge{n}_{x}" for n in ("1", "2", "L") for x in "prf"]]
 
 
+_ASCII = {i: chr(i).lower() if chr(i).isalnum() else " " for i in range(128)}
+
+
 def _norm(s: str) -> str:
+    if s.isascii():
+        return " ".join(s.translate(_ASCII).split())
     low = strip_accents_py(s).lower()
     return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in low).split())
 
 
-def _set_sims(x: list, y: list) -> tuple[float, float]:
-    """Jaccard and Dice, 1 where both are empty."""
-    a, b = set(x), set(y)
+class _Text:
+    """What the similarities need of one label, computed once however many pairs it is in."""
+
+    __slots__ = ("raw", "fold", "norm", "back", "at", "words", "grams")
+
+    def __init__(self, raw: str):
+        self.raw, self.fold, self.norm = raw, raw.casefold(), _norm(raw)
+        self.back, self.at, self.words = self.norm[::-1], _positions(self.norm), set(self.norm.split())
+        solid = self.norm.replace(" ", "")
+        self.grams = {}
+        for n in (2, 3):
+            count = Counter([solid[i : i + n] for i in range(len(solid) - n + 1)])
+            self.grams[n] = count, sum([c * c for c in count.values()])
+
+
+def _set_sims(a, b) -> tuple[float, float]:
+    """Jaccard and Dice of two sets (or the keys of two counters), 1 where both are empty."""
     if not a and not b:
         return 1.0, 1.0
     n = len(a & b)
-    return n / len(a | b), 2 * n / (len(a) + len(b))
+    return n / (len(a) + len(b) - n), 2 * n / (len(a) + len(b))
+
+
+def _gram_sims(x: tuple, y: tuple) -> tuple[float, float]:
+    """Jaccard and cosine of two counters with their sums of squares."""
+    (a, p), (b, q) = x, y
+    if not a or not b:
+        both = float(not a and not b)
+        return both, both
+    shared, dot = 0, 0
+    for k, n in (a if len(a) <= len(b) else b).items():
+        m = (b if len(a) <= len(b) else a).get(k)
+        if m:
+            shared += 1
+            dot += n * m
+    return shared / (len(a) + len(b) - shared), dot / math.sqrt(p * q)
 
 
 def _count_cosine(x: list, y: list) -> float:
@@ -214,21 +246,37 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def syntax_row(raw_a: str, raw_b: str) -> list[float]:
-    """The label similarities of one pair, in the order of SYNTAX."""
-    a, b = _norm(raw_a), _norm(raw_b)
+def _syntax(x: _Text, y: _Text) -> list[float]:
+    a, b = x.norm, y.norm
     size = max(len(a), len(b), 1)
-    lev, dam, sub = levenshtein(a, b), osa(a, b), lcs(a, b)
-    grams = {n: tuple([s[i : i + n] for i in range(len(s) - n + 1)] for s in (a.replace(" ", ""), b.replace(" ", ""))) for n in (2, 3)}
-    tokens = _set_sims(a.split(), b.split())
-    return [float(x) for x in (
-        len(a), len(b), raw_a == raw_b, raw_a.casefold() == raw_b.casefold(), bool(a) and a in b, bool(b) and b in a,
-        lev, 1 - lev / size, dam, 1 - dam / size, sub, sub / size, _prefix(a, b) / size, _prefix(a[::-1], b[::-1]) / size,
-        *tokens, _set_sims(*grams[2])[0], _set_sims(*grams[3])[0], _count_cosine(*grams[2]), _count_cosine(*grams[3]),
-        jaro(a, b), jaro_winkler(a, b),
+    lev, dam, sub = (_edits(a, b, False, x.at), _edits(a, b, True, x.at), lcs(a, b, x.at)) if a and b else (len(a) + len(b), len(a) + len(b), 0)
+    pre = _prefix(a, b)
+    two, three, j = _gram_sims(x.grams[2], y.grams[2]), _gram_sims(x.grams[3], y.grams[3]), jaro(a, b, y.at)
+    return [float(v) for v in (
+        len(a), len(b), x.raw == y.raw, x.fold == y.fold, bool(a) and a in b, bool(b) and b in a,
+        lev, 1 - lev / size, dam, 1 - dam / size, sub, sub / size, pre / size, _prefix(x.back, y.back) / size,
+        *_set_sims(x.words, y.words), two[0], three[0], two[1], three[1], j, j + min(4, pre) * 0.1 * (1 - j),
     )]
 
 
+def syntax_row(raw_a: str, raw_b: str) -> list[float]:
+    """The label similarities of one pair, in the order of SYNTAX."""
+    return _syntax(_Text(raw_a), _Text(raw_b))
+
+
+def _syntax_batch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    texts: dict[str, _Text] = {}
+    known: dict = {}
+    rows = []
+    for pair in zip(a.fillna(""), b.fillna("")):
+        row = known.get(pair)
+        if row is None:
+            x, y = (texts.get(t) or texts.setdefault(t, _Text(t)) for t in pair)
+            row = known[pair] = _syntax(x, y)
+        rows.append(row)
+    return pd.DataFrame(rows, columns=SYNTAX, dtype="float64")
+
+
 def nlp_row(reference: str, candidate: str) -> list[float]:
     """BLEU and ROUGE of one pair, in the order of NLP."""
     ref, cand = reference.lower().split(), candidate.lower().split()
@@ -240,5 +288,5 @@ def nlp_row(reference: str, candidate: str) -> list[float]:
     return [*out, *rouge_l(reference, candidate)]
 
 
-syntax_col = _struct(syntax_row, SYNTAX)
+syntax_col = F.pandas_udf(_syntax_batch, StructType([StructField(n, DoubleType()) for n in SYNTAX]))
 nlp_col = _struct(nlp_row, NLP)
