@@ -70,6 +70,8 @@ ORACLE = {
  SELECT m.source FROM mix_targets m LEFT JOIN s ON s.k = m.source WHERE coalesce(s.n, 0) * m.max_repeats < m.target_share * (SELECT sum(n) FROM t)""",
 }
 
+ORACLE["p7_sizes"] = f"SELECT n AS n_entities, count(*) AS n_groups FROM (SELECT group_iri, count(*) AS n FROM ({ORACLE['p7_found']}) GROUP BY group_iri) GROUP BY n"
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
