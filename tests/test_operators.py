@@ -367,3 +367,44 @@ def test_gate_grid_against_counting(spark):
     for r in sweep:
         kept = [y for y, s, t in rows if rule[r["gate"]](s, t, r["q_src"], r["q_tgt"])]
         assert (r["n"], r["tp"]) == (len(kept), sum(kept))
+
+
+def test_keys_above_the_ceiling_are_split(spark):
+    from brindle.operators import skew
+
+    assert skew.hot_limit(10**12) == skew.CEILING and skew.hot_limit(100) == skew.LEAST_ROWS
+    big = spark.createDataFrame([("a", k) for k in range(50)] + [("b", k) for k in range(3)] + [(None, 1)], "k string, v int")
+    hot = skew.hot_keys(big.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", ceiling=10)
+    assert hot.collect() == [("a", 5)]
+    small = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, w string")
+    assert skew.salted_join(big, small, "k", hot, F.col("v")).count() == 53
+    both = spark.createDataFrame([("a", k) for k in range(7)] + [("c", 1)], "k string, w int")
+    parts = spark.createDataFrame([("a", 5, 2)], "k string, a int, b int")
+    met = skew.crossed_join(big, both, "k", parts, F.col("v"), F.col("w"))
+    assert met.count() == 350 and met.distinct().count() == 350
+
+
+def test_running_over_parts(spark):
+    from brindle.operators.running import running
+
+    rng = random.Random(6)
+    rows = [(k, rng.randint(-5, 9)) for k in range(300)]
+    got = running(spark.createDataFrame(rows, "k int, v int"), [F.desc("k")], sums={"s": F.col("v")}, mins={"m": F.col("v")}, parts=5).collect()
+    total, least, want = 0, 99, {}
+    for k, v in reversed(rows):
+        total, least = total + v, min(least, v)
+        want[k] = (total, least)
+    assert {r["k"]: (r["s"], r["m"]) for r in got} == want
+    assert running(spark.createDataFrame([], "k int, v int"), [F.asc("k")], sums={"s": F.col("v")}).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    """Only a local master may fall back to a temporary folder."""
+    from types import SimpleNamespace
+
+    from brindle.sources import materialize
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        materialize.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context))
