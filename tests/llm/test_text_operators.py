@@ -241,6 +241,23 @@ def test_match_under_crowded_words(spark, monkeypatch):
     assert len(got & truth) / len(truth) > 0.9 and len(got & truth) / len(got) > 0.9 and len(got ^ every) <= 0.02 * len(every)
 
 
+def test_pairs_do_not_depend_on_how_many_have_a_word(spark, monkeypatch):
+    """All entities of a rare word are compared, in one group or in parts, those of unlike meanings or of none too; each pair once."""
+    rows, _ = profile_rows()
+    rows = [(i, s, [x for x in [a, *b] if x]) for i, s, a, b in rows]
+    usual = sorted({w for _, _, t in rows[:40] for x in t for w in x.lower().split()[1:]})
+    for k in range(30):  # the last three have no other word
+        names = [f"vornelith {usual[k % len(usual)]} {usual[(7 * k + 3) % len(usual)]}", f"vornelith {usual[k % len(usual)]}"] if k < 27 else ["vornelith"]
+        rows.append((f"{'st'[k % 2]}v{k:02d}", k % 2, [*names, f"{usual[k % len(usual)]} b{k % 5}"] if k < 27 else names))
+    ents = entity_match.entities(spark.createDataFrame(rows, "iri string, side int, t array<string>"), "iri", F.col("side"), F.col("t"))
+    every = sorted(tuple(r) for r in entity_match.match(ents).collect())
+    named = {f"{'st'[k % 2]}v{k:02d}" for k in range(30)}
+    assert {r[:2] for r in every if set(r[:2]) <= named} == set(combinations(sorted(named), 2))
+    monkeypatch.setattr(entity_match, "CEILING", 3)
+    monkeypatch.setattr(entity_match, "PART", 2)
+    assert sorted(tuple(r) for r in entity_match.match(ents).collect()) == every
+
+
 def test_posterior_as_expression(spark):
     m = entity_match.Mixture(0.3, np.array([[0.2, 0.1, 0.0], [0.9, 0.8, 0.7]]), np.array([np.eye(3) * 0.05, np.eye(3) * 0.02 + 0.005]))
     x = np.random.default_rng(1).random((50, 3))
