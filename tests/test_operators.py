@@ -408,3 +408,40 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
     with pytest.raises(RuntimeError):
         materialize.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context))
+
+
+def links(rng, n=40, odd=0.25):
+    """A forest with some further parents, a loop and unknown ends."""
+    rows = [(f"n{k}", f"n{rng.randrange(max(1, k // 3))}") for k in range(1, n)]
+    rows += [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(int(odd * n))]
+    return [*rows, rows[3], ("n7", "n7"), (None, "n1"), ("n2", None)]
+
+
+def kin(rows):
+    """Siblings and cousins pair by pair."""
+    e = {(c, p) for c, p in rows if c is not None and p is not None}
+    sib = {(a, b) for a, p in e for b, q in e if p == q and a != b}
+    cous = {(x, y) for x, p in e for s, q in sib if s == p for y, r in e if r == q and x != y} - sib
+    return sib, cous
+
+
+def sizes(pairs):
+    out = {}
+    for x, _ in pairs:
+        out[x] = out.get(x, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("odd", [0, 0.05, 0.3])
+def test_cousin_counts_against_every_pair(spark, odd):
+    rows = links(random.Random(11), 45, odd)
+    got = ontology.cousin_counts(spark.createDataFrame(rows, "child string, parent string")).collect()
+    want = sizes(kin(rows)[1])
+    assert len(got) == len(want) and {r["iri"]: r["n"] for r in got} == want
+
+
+def test_cousins_of_a_tree_are_counted_without_pairs(spark):
+    """1.8 thousand million pairs, which no test could wait for if they were listed."""
+    e = spark.range(60_000).select(F.concat(F.lit("c"), "id").alias("child"), F.concat(F.lit("p"), F.col("id") % 2).alias("parent"))
+    e = e.unionByName(spark.createDataFrame([("p0", "r"), ("p1", "r")], "child string, parent string"))
+    assert ontology.cousin_counts(e).agg(F.count(F.lit(1)), F.sum("n")).first() == (60_000, 1_800_000_000)
