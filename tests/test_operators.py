@@ -445,3 +445,11 @@ def test_cousins_of_a_tree_are_counted_without_pairs(spark):
     e = spark.range(60_000).select(F.concat(F.lit("c"), "id").alias("child"), F.concat(F.lit("p"), F.col("id") % 2).alias("parent"))
     e = e.unionByName(spark.createDataFrame([("p0", "r"), ("p1", "r")], "child string, parent string"))
     assert ontology.cousin_counts(e).agg(F.count(F.lit(1)), F.sum("n")).first() == (60_000, 1_800_000_000)
+
+
+@pytest.mark.parametrize("odd", [0, 0.05, 0.3])
+def test_relation_sizes_against_every_pair(spark, odd):
+    """As many pairs and entities of each relation as `relations` lists, with cycles too."""
+    e = spark.createDataFrame(links(random.Random(12), 45, odd), "child string, parent string")
+    want = ontology.relations(e).groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("iri").alias("n_entities"))
+    assert sorted(map(tuple, ontology.relation_sizes(e).collect())) == sorted(map(tuple, want.collect()))
