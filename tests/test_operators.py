@@ -453,3 +453,12 @@ def test_relation_sizes_against_every_pair(spark, odd):
     e = spark.createDataFrame(links(random.Random(12), 45, odd), "child string, parent string")
     want = ontology.relations(e).groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("iri").alias("n_entities"))
     assert sorted(map(tuple, ontology.relation_sizes(e).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_relation_groups_counts_orders(spark, data):
+    """The level of orders is part of the hierarchy."""
+    from brindle.plans import queries, views
+
+    got = {r["relation"]: r for r in queries.relation_groups(spark, data).collect()}
+    n = views.table(spark, data, "orders").filter("o_orderkey IS NOT NULL AND o_custkey IS NOT NULL").select("o_orderkey").distinct().count()
+    assert got["ancestor_d3"]["n_entities"] == n and got["ancestor_d1"]["n_entities"] > n
