@@ -462,3 +462,12 @@ def test_relation_groups_counts_orders(spark, data):
     got = {r["relation"]: r for r in queries.relation_groups(spark, data).collect()}
     n = views.table(spark, data, "orders").filter("o_orderkey IS NOT NULL AND o_custkey IS NOT NULL").select("o_orderkey").distinct().count()
     assert got["ancestor_d3"]["n_entities"] == n and got["ancestor_d1"]["n_entities"] > n
+
+
+@pytest.mark.parametrize("odd", [0, 0.3])
+def test_siblings_in_lists_against_every_pair(spark, monkeypatch, odd):
+    """Parents whose children are dealt into several lists, and pairs that two parents share."""
+    monkeypatch.setattr(ontology, "FAMILY", 3)
+    rows = links(random.Random(13), 45, odd)
+    got = ontology.siblings(spark.createDataFrame(rows, "child string, parent string")).collect()
+    assert sorted(map(tuple, got)) == sorted(kin(rows)[0])
