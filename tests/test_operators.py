@@ -471,3 +471,12 @@ def test_siblings_in_lists_against_every_pair(spark, monkeypatch, odd):
     rows = links(random.Random(13), 45, odd)
     got = ontology.siblings(spark.createDataFrame(rows, "child string, parent string")).collect()
     assert sorted(map(tuple, got)) == sorted(kin(rows)[0])
+
+
+def test_siblings_of_orders(spark, data):
+    """Orders of one customer are siblings."""
+    from brindle.plans import queries, views
+
+    o = views.table(spark, data, "orders").filter("o_orderkey IS NOT NULL AND o_custkey IS NOT NULL").select("o_custkey", "o_orderkey").distinct()
+    n = o.groupBy("o_custkey").count().agg(F.sum(F.expr("count * (count - 1)"))).first()[0]
+    assert n > 0 and queries.siblings(spark, data).filter("iri LIKE 'o%'").count() == n
