@@ -480,3 +480,19 @@ def test_siblings_of_orders(spark, data):
     o = views.table(spark, data, "orders").filter("o_orderkey IS NOT NULL AND o_custkey IS NOT NULL").select("o_custkey", "o_orderkey").distinct()
     n = o.groupBy("o_custkey").count().agg(F.sum(F.expr("count * (count - 1)"))).first()[0]
     assert n > 0 and queries.siblings(spark, data).filter("iri LIKE 'o%'").count() == n
+
+
+def test_pruned_cosine_against_every_pair(spark, monkeypatch):
+    """The bound from what is left on both sides loses no pair."""
+    monkeypatch.setattr(retrieval, "TIER", 2.0)
+    rng = random.Random(4)
+    rows = lambda p, n: [(f"{p}{k}", t, x / sum(v * v for v in w) ** 0.5) for k in range(n) for w in [[rng.random() + 0.1 for _ in range(5)]] for t, x in zip(rng.sample(range(25), 5), w)]
+    q, c = rows("s", 30), rows("t", 50)
+    got = retrieval.top_tfidf(spark.createDataFrame(q, "iri string, term int, weight double"), spark.createDataFrame(c, "iri string, term int, weight double"), 3, digits=9).collect()
+    all_ = {}
+    for a, t, x in q:
+        for b, u, y in c:
+            if t == u:
+                all_[a, b] = all_.get((a, b), 0) + x * y
+    want = {(a, b) for a in {i for i, _ in all_} for _, b in sorted((-round(x, 9), j) for (i, j), x in all_.items() if i == a)[:3]}
+    assert {(r["src_iri"], r["tgt_iri"]) for r in got} == want
